@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, sharding, tokenfile, topk, urlfilter
+from . import bpe, mixing, quality, sharding, tokenfile, topk, toxicity, urlfilter
 from .common import fresh_folder
 
 
@@ -50,7 +50,12 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark, _table(spark, sf_dir, "embeddings"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit_tables(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_shard_ring, op4_token_files, op5_bpe_round_trip, op6_url_rules, op7_quality_rules, op8_top_k)
+    for f in (op1_mix_sources, op2_shard_ring, op4_token_files, op5_bpe_round_trip, op6_url_rules, op7_quality_rules, op8_top_k, op10_toxicity)
 }
