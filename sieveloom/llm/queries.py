@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, sharding, tokenfile, topk, toxicity, urlfilter
+from . import bpe, mixing, neardup, quality, sharding, tokenfile, topk, toxicity, urlfilter
 from .common import fresh_folder
 
 
@@ -28,6 +28,10 @@ def op2_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(spark, _table(spark, sf_dir, "documents"), 24)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark, _table(spark, sf_dir, "documents"), words=2)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "token-files")
     tokenfile.write_tokens(spark, _table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), folder)
@@ -57,5 +61,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_shard_ring, op4_token_files, op5_bpe_round_trip, op6_url_rules, op7_quality_rules, op8_top_k, op10_toxicity)
+    for f in (op1_mix_sources, op2_shard_ring, op3_near_duplicates, op4_token_files, op5_bpe_round_trip, op6_url_rules, op7_quality_rules, op8_top_k, op10_toxicity)
 }
