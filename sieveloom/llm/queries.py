@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, neardup, quality, sharding, tokenfile, topk, toxicity, urlfilter
+from . import bpe, mixing, neardup, quality, sharding, suffixdedup, tokenfile, topk, toxicity, urlfilter
 from .common import fresh_folder
 
 
@@ -54,6 +54,10 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark, _table(spark, sf_dir, "embeddings"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(spark, _table(spark, sf_dir, "documents"), digests=True)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.fit_tables(docs, _table(spark, sf_dir, "labels")))
@@ -61,5 +65,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_shard_ring, op3_near_duplicates, op4_token_files, op5_bpe_round_trip, op6_url_rules, op7_quality_rules, op8_top_k, op10_toxicity)
+    for f in (op1_mix_sources, op2_shard_ring, op3_near_duplicates, op4_token_files, op5_bpe_round_trip, op6_url_rules, op7_quality_rules, op8_top_k, op9_suffix_dedup, op10_toxicity)
 }
