@@ -331,3 +331,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = WORDS,
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "rep", "doc_id"))
     members = members.select("doc_id", "n_shingles", component.alias("component_id"))
     return members.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the one with the
+    least doc_id (any one, if that id is repeated). Rows without doc_id stay."""
+    kept = near_duplicates(spark, docs, **options).where("doc_id is not null and kept")
+    ids = kept.groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count(F.lit(1)).alias("_kept_rows"))
+    ids = stage(spark, ids, "kept")
+    joined = docs.join(ids, F.col("doc_id").cast("long") == F.col("_kept_id"))
+    once = joined.where("_kept_rows = 1").select(*docs.columns)
+    again = joined.where("_kept_rows > 1").dropDuplicates(["_kept_id"]).select(*docs.columns)
+    return once.unionByName(again).unionByName(docs.where("doc_id is null"))

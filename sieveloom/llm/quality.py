@@ -145,3 +145,16 @@ def quality(docs: DataFrame, *, keep: tuple[str, ...] | None = ("doc_id",), text
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(m[c]) for c in MEASURES), pa.array(failed), pa.array(kept)], names=schema.names)
 
     return chosen.mapInArrow(run, schema)
+
+
+def passing(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = ts.text_buffer(batch.column(text))
+            kept = [verdicts(measure(part, ends))[1] for _, _, part, ends in ts.chunks(data, offsets)]
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return docs.mapInArrow(run, docs.schema)
