@@ -103,9 +103,10 @@ def _np_iou(one: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.divide(shared, both, out=np.zeros_like(shared), where=both > 0), np.divide(shared, least, out=np.zeros_like(shared), where=least > 0)
 
 
-def _per_image(rows: DataFrame, run, schema) -> DataFrame:
-    """``run`` over each image's rows. Images share Arrow batches, so many small groups
-    cost no more than few large ones; a batch's last image waits for its other rows."""
+def _per_image(rows: DataFrame, pick, schema) -> DataFrame:
+    """Frames made of whole images: ``pick(frame, cuts)`` gets rows sorted by image and
+    where each image ends. Small groups share a batch, so they cost no more than
+    large ones; a batch's last image waits for its other rows."""
 
     def stream(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -114,48 +115,47 @@ def _per_image(rows: DataFrame, run, schema) -> DataFrame:
             images = pdf["image"].to_numpy()
             cuts = np.flatnonzero(images[1:] != images[:-1]) + 1
             last = int(cuts[-1]) if len(cuts) else 0
-            done = [run(pdf.iloc[a:b]) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
-            if done:
-                yield pd.concat(done, ignore_index=True)
-            rest = pdf.iloc[last:]
+            if last:
+                yield pick(pdf.iloc[:last], cuts.tolist())
+            rest = pdf.iloc[last:].reset_index(drop=True)
         if rest is not None and len(rest):
-            yield run(rest)
+            yield pick(rest, [len(rest)])
 
     return rows.repartition("image").sortWithinPartitions("image").mapInPandas(stream, schema)
 
 
-def suppress(boxes: DataFrame, iou_limit: float = 0.65, containment_limit: float = 1.01) -> DataFrame:
-    """Greedy suppression: by score, ties by box; a box that meets a kept one goes.
-    Sequential in an image's boxes, so one Arrow group per image."""
+def _greedy(xy: np.ndarray, order: np.ndarray, always: np.ndarray, iou_limit: float, containment_limit: float) -> list[int]:
+    """Rows of one image that stay, tried in ``order``; ``always`` ones do not ask."""
+    kept: list[int] = []
+    for i in order.tolist():
+        if kept and not always[i]:
+            overlap, held = _np_iou(xy[i], xy[kept])
+            if ((overlap >= iou_limit) | (held >= containment_limit)).any():
+                continue
+        kept.append(i)
+    return kept
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "box"], ascending=[False, True])
-        xy, kept = pdf[["x0", "y0", "x1", "y1"]].to_numpy(float), []
-        for i in range(len(xy)):
-            overlap, held = _np_iou(xy[i], xy[kept]) if kept else (np.zeros(0), np.zeros(0))
-            if not ((overlap >= iou_limit) | (held >= containment_limit)).any():
-                kept.append(i)
-        return pdf.iloc[kept]
+def _kept(pdf: pd.DataFrame, cuts: list[int], always: np.ndarray, iou_limit: float, containment_limit: float) -> pd.DataFrame:
+    xy, score, box = pdf[["x0", "y0", "x1", "y1"]].to_numpy(float), pdf["score"].to_numpy(), pdf["box"].to_numpy()
+    rows: list[int] = []
+    for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
+        order = np.lexsort((box[a:b], -score[a:b], ~always[a:b]))
+        rows += [a + i for i in _greedy(xy[a:b], order, always[a:b], iou_limit, containment_limit)]
+    return pdf.iloc[rows]
 
-    return _per_image(boxes, run, boxes.schema)
+
+def suppress(boxes: DataFrame, iou_limit: float = 0.65, containment_limit: float = 1.01) -> DataFrame:
+    """Greedy suppression: by score, ties by box; a box that meets a kept one goes."""
+    pick = lambda pdf, cuts: _kept(pdf, cuts, np.zeros(len(pdf), bool), iou_limit, containment_limit)
+    return _per_image(boxes, pick, boxes.schema)
 
 
 def merge_parts(subjects: DataFrame, parts: DataFrame, iou_limit: float = 0.65, containment_limit: float = 0.7) -> DataFrame:
     """All subjects, and parts by score that meet nothing kept so far."""
     rows = subjects.withColumn("_part", F.lit(0)).unionByName(parts.withColumn("_part", F.lit(1)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_part", "score", "box"], ascending=[True, False, True])
-        xy, part, kept = pdf[["x0", "y0", "x1", "y1"]].to_numpy(float), pdf["_part"].to_numpy(), []
-        for i in range(len(xy)):
-            if part[i] and kept:
-                overlap, held = _np_iou(xy[i], xy[kept])
-                if ((overlap >= iou_limit) | (held >= containment_limit)).any():
-                    continue
-            kept.append(i)
-        return pdf.iloc[kept].drop(columns="_part")
-
-    return _per_image(rows, run, subjects.schema)
+    pick = lambda pdf, cuts: _kept(pdf, cuts, pdf["_part"].to_numpy() == 0, iou_limit, containment_limit).drop(columns="_part")
+    return _per_image(rows, pick, subjects.schema)
 
 
 def small_boxes(boxes: DataFrame, width: float, height: float, least_fraction: float) -> DataFrame:
@@ -299,14 +299,21 @@ def position_names(xy: np.ndarray, overlap: float = 0.25) -> tuple[list[str], li
 def assign_positions(boxes: DataFrame, overlap: float = 0.25) -> DataFrame:
     """(image, box, position, place): names and reading order, per image."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("box")
-        names, reading = position_names(pdf[["x0", "y0", "x1", "y1"]].to_numpy(float), overlap)
-        place = np.empty(len(pdf), int)
-        place[reading] = np.arange(1, len(pdf) + 1)
-        return pd.DataFrame({"image": pdf["image"].to_numpy(), "box": pdf["box"].to_numpy(), "position": names, "place": place})
-
-    return _per_image(boxes, run, "image long, box int, position string, place int")
+    def pick(pdf: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+        xy, box = pdf[["x0", "y0", "x1", "y1"]].to_numpy(float), pdf["box"].to_numpy()
+        names, places, rows = [], [], []
+        for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
+            order = np.argsort(box[a:b], kind="stable")
+            named, reading = position_names(xy[a:b][order], overlap)
+            place = np.empty(b - a, int)
+            place[reading] = np.arange(1, b - a + 1)
+            names += named
+            places.append(place)
+            rows.append(a + order)
+        rows = np.concatenate(rows)
+        return pd.DataFrame({"image": pdf["image"].to_numpy()[rows], "box": box[rows], "position": names, "place": np.concatenate(places)})
+
+    return _per_image(boxes, pick, "image long, box int, position string, place int")
 
 
 def pad_box(b, width: Column, height: Column, pad: float = 0.12) -> tuple[Column, ...]:
