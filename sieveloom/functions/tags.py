@@ -258,3 +258,32 @@ def strip_html(html: Column) -> Column:
     for name, value in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         t = F.replace(t, F.lit(name), F.lit(value))
     return F.btrim(F.regexp_replace(t, r"[ \t\r\n\f]+", " "))
+
+
+def above(scores: Column, thresholds: Column, default: float = 0.5) -> Column:
+    """Entries of a score map at or above their threshold."""
+    return F.map_filter(scores, lambda k, v: v >= F.coalesce(F.try_element_at(thresholds, k), F.lit(default)))
+
+
+def iso_utc(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def minute(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd HH:mm")
+
+
+def is_rel_key(path: Column) -> Column:
+    """Forward slashes only, below the root: no drive, no leading slash, no .. part."""
+    return (path != "") & ~path.rlike(r"^/|\\|^[A-Za-z]:|(^|/)\.\.(/|$)")
+
+
+def parse_selectors(spec: str | None, known: tuple[str, ...]) -> tuple[str, ...]:
+    """A comma list of selectors: known names lower-cased, others as they are, each once."""
+    parts = [p.strip() for p in (spec or "").split(",")]
+    return tuple(dict.fromkeys(p.lower() if p.lower() in known else p for p in parts if p))
+
+
+def suggest_count(instances: Column, girls: Column) -> Column:
+    """The girl count that detections suggest where the caption says fewer."""
+    return F.when(instances > F.coalesce(girls, F.lit(0)), F.when(instances >= 6, "6+girls").when(instances == 1, "1girl").otherwise(F.concat(instances.cast("string"), F.lit("girls"))))

@@ -177,3 +177,73 @@ def suppression_counts(spark, sf_dir):
 def stages():
     """Names and runners of all registered queries: the stage registry."""
     return dict(QUERIES)
+
+
+@query("y03_map_threshold", "WITH " + d.SCORES + """
+SELECT sample, string_agg(CAST(tag AS VARCHAR), ',' ORDER BY tag) AS kept FROM scores WHERE score >= CASE WHEN tag < 5 THEN 0.55 ELSE 0.5 END GROUP BY sample""")
+def map_threshold(spark, sf_dir):
+    per = d.scores(spark, sf_dir).groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct("tag", "score"))).alias("m"))
+    limits = F.create_map(*[x for i in range(5) for x in (F.lit(i), F.lit(0.55))])
+    kept = per.select("sample", F.array_sort(F.map_keys(t.above(F.col("m"), limits))).alias("k")).where(F.size("k") > 0)
+    return kept.select("sample", F.array_join("k", ",").alias("kept"))
+
+
+@query("y06_iso_times", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(ts, '%Y-%m-%d %H:%M') AS minute FROM events")
+def iso_times(spark, sf_dir):
+    e = d.table(spark, sf_dir, "events")
+    return e.select("event_id", t.iso_utc(F.col("ts")).alias("iso"), t.minute(F.col("ts")).alias("minute"))
+
+
+@query("f44_f45_keys_and_selectors", "SELECT * FROM (VALUES ('a/b', true), ('/a', false), ('a/../b', false), ('c:x', false), ('a\\b', false), ('..', false), ('a..b', true), ('', false)) AS v(path, good)")
+def keys_and_selectors(spark, sf_dir):
+    if t.parse_selectors("Hair, hair,x > Y,, face", ("hair", "face")) != ("hair", "x > Y", "face"):
+        raise ValueError("selectors")
+    rows = spark.createDataFrame([(p,) for p in ("a/b", "/a", "a/../b", "c:x", "a\\b", "..", "a..b", "")], "path string")
+    return rows.select("path", t.is_rel_key(F.col("path")).alias("good"))
+
+
+@query("r11_suggested_count", "WITH " + d.BOXES + """
+, n AS (SELECT image, count(*) AS n FROM boxes GROUP BY image)
+SELECT image, CASE WHEN n > image % 3 THEN CASE WHEN n >= 6 THEN '6+girls' WHEN n = 1 THEN '1girl' ELSE CAST(n AS VARCHAR) || 'girls' END END AS suggested FROM n""")
+def suggested_count(spark, sf_dir):
+    n = d.boxes(spark, sf_dir).groupBy("image").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("image", t.suggest_count(F.col("n"), F.col("image") % 3).alias("suggested"))
+
+
+@query("j18_vocab_membership", "WITH " + d.OCCURRENCES + ",\n" + d.KNOWLEDGE + " SELECT DISTINCT key FROM occurrences WHERE tag IN (SELECT tag FROM knowledge WHERE kind = 'character')")
+def vocab_membership(spark, sf_dir):
+    names = d.knowledge(spark, sf_dir).where("kind = 'character'").select("tag")
+    return d.occurrences(spark, sf_dir).join(names, "tag", "left_semi").select("key").distinct()
+
+
+@query("k22_group_totals", "SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS grouped, count(*) FILTER (WHERE n = 1) AS singletons FROM (SELECT label, vec_id % 40 AS b, count(*) AS n FROM embeddings GROUP BY ALL)")
+def group_totals(spark, sf_dir):
+    per = d.table(spark, sf_dir, "embeddings").groupBy("label", (F.col("vec_id") % 40).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("grouped"), F.count_if(F.col("n") == 1).alias("singletons"))
+
+
+@query("w17_score_swings", "WITH " + d.SCORES + """
+, a AS (SELECT tag, avg(score) FILTER (WHERE sample % 2 = 0) AS x, avg(score) FILTER (WHERE sample % 2 = 1) AS y, sum(truth) AS support FROM scores GROUP BY tag)
+SELECT tag, round(y - x, 6) AS swing FROM a WHERE support >= 5 ORDER BY abs(round(y - x, 6)) DESC, tag LIMIT 5""")
+def score_swings(spark, sf_dir):
+    even = F.col("sample") % 2 == 0
+    per = d.scores(spark, sf_dir).groupBy("tag").agg(F.avg(F.when(even, F.col("score"))).alias("x"), F.avg(F.when(~even, F.col("score"))).alias("y"), F.sum("truth").alias("support"))
+    swing = F.round(F.col("y") - F.col("x"), 6)
+    return per.where("support >= 5").select("tag", swing.alias("swing")).orderBy(F.desc(F.abs(F.col("swing"))), "tag").limit(5)
+
+
+@query("g06_quoted_spans", "WITH " + d.CAPTIONS_SQL + """
+SELECT id, array_to_string(regexp_extract_all(text, '「[^「」]*」|『[^『』]*』|"[^"]*"'), '|') AS spans FROM captions""")
+def quoted_spans(spark, sf_dir):
+    from ..functions.grammar import quoted_spans as spans
+
+    return d.captions(spark).select("id", F.array_join(spans(F.col("text")), "|").alias("spans"))
+
+
+@query("z01_m01_scored_batches", "SELECT doc_id, length(text) AS score FROM documents")
+def scored_batches(spark, sf_dir):
+    """A stub model over document batches."""
+    from .models import scored
+
+    rows = d.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scored(rows, lambda: lambda pdf: pdf.assign(score=pdf["text"].str.len())[["doc_id", "score"]], "doc_id long, score long")
