@@ -112,7 +112,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     has = sizes >= length
     np.add.at(inside, offsets[:-1][has], 1)
     np.add.at(inside, offsets[1:][has] - length + 1, -1)
-    valid = np.cumsum(inside[:-1]) > 0
+    valid = np.cumsum(inside[:-1], dtype=np.int32) > 0
     begins = valid.copy()
     begins[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
     begins[offsets[:-1][has]] = True
@@ -361,40 +361,36 @@ def cut_rows(buckets: int, deals: int):
         key = group["key"][0].as_py()
         if key >= buckets:
             return pa.table({"deal": pa.array([key - buckets] * len(group), pa.int32()), "blob": group["blob"]})
-        entries: list[tuple[int, bytes, int, list[int]]] = []
+        texts: list[bytes] = []
+        parts: list[list[np.ndarray]] = []
         for blob in group["blob"].to_pylist():
             h, d, p, s, t = unpack(blob, _PIECES)
-            text, at = t.tobytes(), 0
-            for a, b, c, n in zip(h.tolist(), d.tolist(), p.tolist(), s.tolist(), strict=True):
-                if n:
-                    entries.append((a, text[at : at + n], b, [c]))
-                    at += n
-                else:
-                    entries[-1][3].append(c)
-        entries.sort(key=lambda e: (e[0], e[2]))  # by anchor, documents ascending
+            own = np.maximum.accumulate(np.where(s > 0, np.arange(len(s)), 0))  # size 0: the text of the row before
+            end = np.cumsum(s.astype(np.int64))[own]
+            parts.append([h, d, p, end - s[own], end, np.full(len(h), len(texts))])
+            texts.append(t.tobytes())
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        order = np.lexsort((columns[1], columns[0]))  # by anchor, documents ascending
+        columns = [x[order] for x in columns]
+        anchors = np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1], [True]])).tolist()
         cuts: list[tuple[np.ndarray, ...]] = []
         behind: tuple[list, list, list] = ([], [], [])
         waiting: list[tuple[bytes, int, list[int]]] = []
-        held, k = 0, 0
-        while k < len(entries):
+        held = 0
+        for low, high in zip(anchors[:-1], anchors[1:], strict=True):
             classes: dict[bytes, tuple[int, list[int]]] = {}
-            anchor = entries[k][0]
-            while k < len(entries) and entries[k][0] == anchor:
-                _, piece, d, places = entries[k]
-                at = classes.get(piece)
-                if at is None:
-                    classes[piece] = (d, list(places))
-                elif at[0] == d:
-                    at[1].extend(places)
+            for d, p, first, end, source in zip(*(x[low:high].tolist() for x in columns[1:]), strict=True):
+                piece = texts[source][first:end]
+                at = classes.setdefault(piece, (d, []))
+                if at[0] == d:
+                    at[1].append(p)
                 else:
-                    for p in places:
-                        for out, v in zip(behind, (d, p, len(piece) - LENGTH + 1), strict=True):
-                            out.append(v)
-                k += 1
+                    for out, v in zip(behind, (d, p, len(piece) - LENGTH + 1), strict=True):
+                        out.append(v)
             if len(classes) > 1:  # a single text has no order to find
                 waiting += [(b, d, places) for b, (d, places) in classes.items()]
                 held += sum(map(len, classes))
-            if held >= SORT_BYTES or (held and k == len(entries)):
+            if held >= SORT_BYTES:
                 cuts += _sort_classes(waiting)
                 waiting, held = [], 0
         if waiting:
@@ -427,7 +423,7 @@ def removed_bytes(ids: np.ndarray, known: np.ndarray, sizes: np.ndarray, cuts: l
         end = np.minimum(first[some].astype(np.int64) + count[some] - 1 + LENGTH, sizes[row])
         np.add.at(change, offsets[row] + begin, 1)
         np.add.at(change, offsets[row] + end, -1)
-    return np.cumsum(change[:-1]) > 0
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
 def _cutter(names: list[str], digests: bool, text_name: str, chars: pa.DataType | None):
@@ -473,7 +469,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, digests: bool = Fals
     made on the input, not on what is left. An empty table gives an empty one.
     """
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = deals = 8 * partitions
+    buckets, deals = partitions, 2 * partitions  # a row of packed arrays for each pair of them at most
     names = ["doc_id", "text"] if digests else docs.columns
     id_type = docs.schema["doc_id"].dataType
     source = docs.select(F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(deals)), F.lit(0)).cast("int").alias("_deal"), *[F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in names])
