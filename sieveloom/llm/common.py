@@ -39,11 +39,13 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def stage(spark: SparkSession, df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends
-    there, so a lost executor costs a reread and not the work above."""
+    there, so a lost executor costs a reread and not the work above. ``parts`` is
+    the most files to write, for tables whose size is known to be small for the
+    number of shuffle partitions."""
     path = fresh_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    (df if parts is None else df.coalesce(max(1, parts))).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
