@@ -33,6 +33,7 @@ BUCKETS = 512
 GUIDE_CELLS = 4096
 ROUNDS = 12
 SEED = 20240
+ROWS_PER_FILE = 50_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -136,11 +137,11 @@ def mix_spans(spark: SparkSession, sizes: DataFrame, *, key: str, block: int = B
     source_index, draw, offset (the document's) and first, last (words of the
     source's stream, last excluded).
     """
-    targets = stage(spark, source_targets(sizes, weights, cap), "mix-targets")
+    targets = stage(spark, source_targets(sizes, weights, cap), "mix-targets", 1)  # a row per source
     slots = draw_slots(spark, targets, block=block, seed=seed)
     t = targets.select(F.col("source").alias("s"), "source_index", "source_size", "target")
     rows = with_offsets(sizes, key).join(t, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    rows = stage(spark, rows, "mix-rows")
+    rows = stage(spark, rows, "mix-rows", 1 + sizes.count() // ROWS_PER_FILE)
     pieces = rows.where("size > 0").select("source_index", "offset", "size", F.explode(F.sequence(F.expr(f"offset div {block}"), F.expr(f"(offset + size - 1) div {block}"))).alias("block"))
     start = F.col("block") * block
     spans = slots.join(pieces, ["source_index", "block"]).select(
@@ -171,14 +172,15 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFram
     """``docs`` as often as the mix takes them, with their columns: a document of
     which it takes t of s words comes t div s times whole, and once more with its
     first t mod s words (n_chars follows the text). Documents without words have
-    nothing to take and go. Column names may clash with none of ours, as only
-    ``_mix_row`` is added, and text and source are read by name."""
-    table = stage(spark, docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-docs")
-    sizes = stage(spark, table.select("_mix_row", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
-    rows, spans = mix_spans(spark, sizes, key="_mix_row", **options)
+    nothing to take and go. Our own columns are named ``_mix_*``."""
+    marked = docs.withColumn("_mix_row", F.monotonically_increasing_id()).withColumn("_mix_key", F.xxhash64("doc_id", "text"))
+    table = stage(spark, marked, "mix-docs")
+    sizes = stage(spark, table.select("_mix_row", "_mix_key", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
+    # Rows stand by content, so reruns agree; equal rows may trade places.
+    rows, spans = mix_spans(spark, sizes, key="_mix_key", **options)
     taken = spans.groupBy("source_index", "offset").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
     plan = rows.where("size > 0").join(taken, ["source_index", "offset"]).select("_mix_row", F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
-    copies = table.join(plan, "_mix_row").withColumn("_mix_copy", F.explode(F.expr("sequence(1, cast(ceil(_mix_taken / _mix_size) as int))")))
+    copies = table.drop("_mix_key").join(plan, "_mix_row").withColumn("_mix_copy", F.explode(F.expr("sequence(1, cast(ceil(_mix_taken / _mix_size) as int))")))
     left = F.expr("_mix_taken - (_mix_copy - 1) * _mix_size")
     whole = left >= F.col("_mix_size")
     words = F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, F.greatest(left, F.lit(1)).cast("int"))
