@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on ordinary text, one on what toxic
-text has and ordinary text has not (the stretches of toxic training texts whose
-byte n-grams are far more frequent, by documents, in toxic texts). A window of a
+text has and ordinary text has not (the words of toxic training texts that are
+far more frequent, by documents without their copies, in toxic ones). A window of a
 text is compressed twice, against the ordinary dictionary alone and against it
 with the toxic one behind it; padding keeps all distances equal, so the gain in
 bytes is what the toxic dictionary alone explains. A text's features come from
@@ -17,6 +17,7 @@ covers every window of every text, and the model is a few kilobytes.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,14 +33,16 @@ from pyspark.sql import types as T
 #: Labelled texts used of each class at most, and the longest text used, in bytes.
 SAMPLE_PER_CLASS = 3000
 SAMPLE_TEXT_BYTES = 12_288
-GRAM = 5
-GRAM_SHARE = 0.02
-GRAM_ODDS = 4.5
+#: A telling word is in this share of toxic training texts, and more frequent there by
+#: this logarithm of a ratio.
+WORD_SHARE = 0.015
+WORD_ODDS = 3.0
 ORDINARY_BYTES = 8192
 TOXIC_BYTES = 4096
 WINDOW = 48
-STRIDE = 40
+STRIDE = 24
 LEVEL = 9
+_WORDS = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+").findall  # letters, in bytes
 _OPTIONS = {"write_content_size": False, "write_dict_id": False, "write_checksum": False}
 
 
@@ -77,9 +80,15 @@ def _gains(ordinary: bytes, toxic: bytes):
 
 
 def features(gains: np.ndarray) -> tuple[float, ...]:
+    """Of a text's windows: how many gain more than each of some bytes, by how much
+    together, and the three largest gains."""
     n = len(gains)
-    over = {t: int(np.maximum(gains - t, 0).sum()) for t in (1, 2, 4)}
-    return (math.log(over[1] / n + 0.01), math.log(over[2] / n + 0.005), math.log1p(over[4]), math.log(over[4] / n + 0.002), math.log(n), float(min(gains.max(), 12)))
+    out = [math.log(n)]
+    for t in (1, 2, 3, 4, 6):
+        over = gains > t
+        out += [math.log1p(int((gains[over] - t).sum())), math.log(int(over.sum()) / n + 0.002)]
+    top = np.minimum(np.sort(gains)[::-1][:3], 12).tolist()
+    return (*out, *map(float, top), *[0.0] * (3 - len(top)))
 
 
 def _train(size: int, samples: list[bytes]) -> bytes:
@@ -90,31 +99,34 @@ def _train(size: int, samples: list[bytes]) -> bytes:
         return b" ".join(samples)[-size:]
 
 
+def _distinct(texts: list[tuple[bytes, int, int]]) -> list[tuple[bytes, int, int]]:
+    """Without later texts that share one of their least hashed shingles with an
+    earlier one: copies would make all their words look telling."""
+    seen: set[int] = set()
+    out = []
+    for item in texts:
+        words = item[0].split()
+        least = sorted(zlib.crc32(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4)))[:4]
+        if seen.isdisjoint(least):
+            seen.update(least)
+            out.append(item)
+    return out
+
+
 def _contrast(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Stretches of the toxic texts that tell them from ordinary ones."""
+    """The words of the toxic texts that tell them from ordinary ones, each time they occur."""
 
     def by_documents(texts: list[bytes]) -> Counter:
         found: Counter = Counter()
         for b in texts:
-            found.update({b[i : i + GRAM] for i in range(len(b) - GRAM + 1)})
+            found.update(set(_WORDS(b)))
         return found
 
     mine, other = by_documents(toxic), by_documents(ordinary)
-    least = max(3.0, GRAM_SHARE * len(toxic))
-    odds = {g: math.log((v + 0.5) / (len(toxic) + 1) * (len(ordinary) + 1) / (other[g] + 0.5)) for g, v in mine.items() if v >= least}
-    marks = {g for g, s in odds.items() if s >= GRAM_ODDS}
-    out = []
-    for b in toxic:
-        at = [i for i in range(len(b) - GRAM + 1) if b[i : i + GRAM] in marks]
-        k = 0
-        while k < len(at):
-            first, end = at[k], at[k] + GRAM
-            while k + 1 < len(at) and at[k + 1] <= end:
-                k += 1
-                end = at[k] + GRAM
-            out.append(b[first:end])
-            k += 1
-    return out
+    least = max(3.0, WORD_SHARE * len(toxic))
+    odds = {w: math.log((v + 0.5) / (len(toxic) + 1) * (len(ordinary) + 1) / (other[w] + 0.5)) for w, v in mine.items() if v >= least and len(w) >= 3}
+    marks = {w for w, x in odds.items() if x >= WORD_ODDS}
+    return [b" " + w + b" " for b in toxic for w in _WORDS(b) if w in marks]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -135,14 +147,14 @@ def fit(texts: list[tuple[bytes, int, int]], share: float | None = None) -> Mode
     rest, and the training texts' share of label 1, calibrate. ``share``: the
     share of label 1 among all labelled rows, if the sample's differs."""
     texts = [(b.lower(), y, h) for b, y, h in texts]
-    train, held = [t for t in texts if t[2] % 3], [t for t in texts if t[2] % 3 == 0]
+    train, held = _distinct([t for t in texts if t[2] % 3]), [t for t in texts if t[2] % 3 == 0]
     toxic, ordinary = ([b for b, y, _ in train if y == c] for c in (1, 0))
     known = [y for _, y, _ in held]
-    stretches = _contrast(toxic, ordinary) if toxic and ordinary else []
-    if not stretches or not 0 < sum(known) < len(known):
+    telling = _contrast(toxic, ordinary) if toxic and ordinary else []
+    if not telling or not 0 < sum(known) < len(known):
         return Model(b"", b"", (), float(np.mean([y for _, y, _ in texts])) if texts else 0.0)
     ordinary_dict = _train(ORDINARY_BYTES, [b[i : i + 256] for b in ordinary for i in range(0, len(b), 256)])
-    toxic_dict = _train(TOXIC_BYTES, [b" ".join(stretches[i : i + 16]) for i in range(0, len(stretches), 16)])
+    toxic_dict = _train(TOXIC_BYTES, [b" ".join(telling[i : i + 16]) for i in range(0, len(telling), 16)])
     gains = _gains(ordinary_dict, toxic_dict)
     x = np.array([(1.0, *features(gains(b))) for b, _, _ in held])
     weights = _logistic(x, np.array(known, float))
