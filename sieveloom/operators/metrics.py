@@ -28,12 +28,19 @@ def micro_f1(rows: DataFrame) -> DataFrame:
     return per.select(F.round(2 * F.col("tp") / F.greatest(F.col("p") + F.col("t"), F.lit(1)), 9).alias("micro_f1"))
 
 
-def average_precision(scores: DataFrame) -> DataFrame:
+def average_precision(scores: DataFrame, cells: int = 4096) -> DataFrame:
     """tag, ap: mean precision at the positives by descending score, ties by sample;
-    null without positives. One window per tag: rows are ranked in a sort by tag."""
-    order = Window.partitionBy("tag").orderBy(F.desc("score"), "sample")
-    ranked = scores.select("tag", "truth", (F.sum("truth").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.row_number().over(order)).alias("precision"))
-    return ranked.groupBy("tag").agg(F.round(F.avg(F.when(F.col("truth") == 1, F.col("precision"))), 9).alias("ap"))
+    null without positives. Ranks are sums over score cells plus a rank inside a
+    cell, so a tag's rows spread over many tasks."""
+    rows = scores.withColumn("_cell", F.floor(F.col("score") * cells))
+    per = rows.groupBy("tag", "_cell").agg(F.count(F.lit(1)).alias("n"), F.sum("truth").alias("pos"))
+    above = Window.partitionBy("tag").orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    base = per.select("tag", "_cell", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("_n"), F.coalesce(F.sum("pos").over(above), F.lit(0)).alias("_pos"))
+    order = Window.partitionBy("tag", "_cell").orderBy(F.desc("score"), "sample")
+    inside = rows.select("tag", "_cell", "truth", F.row_number().over(order).alias("_r"), F.sum("truth").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_t"))
+    ranked = inside.join(base, ["tag", "_cell"])
+    precision = (F.col("_pos") + F.col("_t")) / (F.col("_n") + F.col("_r"))
+    return ranked.groupBy("tag").agg(F.round(F.avg(F.when(F.col("truth") == 1, precision)), 9).alias("ap"))
 
 
 def best_thresholds(scores: DataFrame, min_support: int = 1, default: float = 0.5) -> DataFrame:

@@ -86,7 +86,8 @@ def versions(rungs: list[tuple[str, DataFrame]], history: DataFrame) -> DataFram
 
 def exclude(ledger: DataFrame, moves: DataFrame) -> DataFrame:
     """ledger and moves (rel, at, moved array): the first ``at`` stands, moved is united."""
-    return ledger.unionByName(moves).groupBy("rel").agg(F.min("at").alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("moved")))).alias("moved"))
+    each = ledger.unionByName(moves).select("rel", "at", F.explode_outer("moved").alias("m"))
+    return each.groupBy("rel").agg(F.min("at").alias("at"), F.sort_array(F.collect_set("m")).alias("moved"))
 
 
 def publish_plan(source: DataFrame, destination: DataFrame) -> DataFrame:

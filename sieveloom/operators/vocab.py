@@ -58,10 +58,12 @@ def most_missing(emitted: DataFrame, cache: DataFrame, n: int = 20) -> DataFrame
     return missing.orderBy(F.desc("n"), "tag").limit(n)
 
 
-def inverted_index(emitted: DataFrame, axes: DataFrame) -> DataFrame:
-    """(axis, tag, keys, n): sorted distinct keys of each tag. axes: (tag, axis)."""
-    pairs = emitted.join(axes, "tag").select("axis", "tag", "key").distinct()
-    return pairs.groupBy("axis", "tag").agg(F.sort_array(F.collect_list("key")).alias("keys"), F.count(F.lit(1)).alias("n"))
+def inverted_index(emitted: DataFrame, axes: DataFrame, span: int = 4096) -> DataFrame:
+    """(axis, tag, part, keys, n): sorted distinct keys of each tag, a row for each range
+    of ``span`` keys, so the list of a tag that everything has is many bounded rows.
+    axes: (tag, axis)."""
+    pairs = emitted.join(axes, "tag").select("axis", "tag", "key").distinct().withColumn("part", F.floor(F.col("key") / span))
+    return pairs.groupBy("axis", "tag", "part").agg(F.sort_array(F.collect_list("key")).alias("keys"), F.count(F.lit(1)).alias("n"))
 
 
 def axis_coverage(emitted: DataFrame, axes: DataFrame, total: int) -> DataFrame:
@@ -127,9 +129,19 @@ def folder_rollup(paths: DataFrame) -> DataFrame:
 
 
 def split_train(keys: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """keys (key) with split: by hash order, max(1, round(n * fraction)) rows are ``val``.
-    The order is a hash of the key, not a process's random numbers."""
-    n = keys.count()
-    size = max(1, round(n * fraction))
-    place = F.row_number().over(Window.orderBy(F.xxhash64("key", F.lit(seed)), "key"))
-    return keys.withColumn("split", F.when(place <= size, "val").otherwise("train"))
+    """keys (key) with split: the max(1, round(n * fraction)) rows of least hash are ``val``.
+
+    The order is a hash of the key, not a process's random numbers. The rank at
+    which ``val`` ends is found in counts of the hash's top 16 bits, so only the
+    rows of one such cell are ever put in order.
+    """
+    rows = keys.withColumn("_h", F.xxhash64("key", F.lit(seed))).withColumn("_cell", F.shiftright("_h", 48))
+    cells = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"))
+    end = F.sum("n").over(Window.orderBy("_cell"))
+    size = F.greatest(F.lit(1), F.bround(F.sum("n").over(Window.partitionBy()) * fraction, 0))
+    cells = cells.select("_cell", (size - (end - F.col("n"))).alias("_left"), (end <= size).alias("_whole"))  # 65,536 rows at most
+    held = rows.join(F.broadcast(cells), "_cell")
+    inside = held.where(~F.col("_whole") & (F.col("_left") > 0)).withColumn("_r", F.row_number().over(Window.partitionBy("_cell").orderBy("_h", "key")))
+    split = lambda val: F.when(val, "val").otherwise("train")
+    rest = held.where(F.col("_whole") | (F.col("_left") <= 0))
+    return rest.select(*keys.columns, split(F.col("_whole")).alias("split")).unionByName(inside.select(*keys.columns, split(F.col("_r") <= F.col("_left")).alias("split")))

@@ -68,10 +68,10 @@ AXES = "axes AS (SELECT tag, kind AS axis FROM knowledge WHERE kind IN ('charact
 
 
 @query("k06_b06_inverted_index", "WITH " + d.OCCURRENCES + ",\n" + d.KNOWLEDGE + ",\n" + AXES + """
-SELECT axis, tag, string_agg(CAST(key AS VARCHAR), ',' ORDER BY key) AS keys, count(*) AS n FROM (SELECT DISTINCT axis, o.tag, key FROM occurrences o JOIN axes USING (tag)) GROUP BY axis, tag""")
+SELECT axis, tag, key // 4096 AS part, string_agg(CAST(key AS VARCHAR), ',' ORDER BY key) AS keys, count(*) AS n FROM (SELECT DISTINCT axis, o.tag, key FROM occurrences o JOIN axes USING (tag)) GROUP BY axis, tag, part""")
 def inverted_index(spark, sf_dir):
     axes = d.knowledge(spark, sf_dir).where("kind in ('character', 'copyright')").select("tag", F.col("kind").alias("axis"))
-    return vocab.inverted_index(d.occurrences(spark, sf_dir), axes).select("axis", "tag", F.array_join("keys", ",").alias("keys"), "n")
+    return vocab.inverted_index(d.occurrences(spark, sf_dir), axes).select("axis", "tag", "part", F.array_join("keys", ",").alias("keys"), "n")
 
 
 @query("k07_axis_coverage", "WITH " + d.OCCURRENCES + ",\n" + d.KNOWLEDGE + ",\n" + AXES + """
@@ -168,6 +168,11 @@ def folder_rollup(spark, sf_dir):
     return vocab.folder_rollup(d.table(spark, sf_dir, "pages").select(path.alias("path")))
 
 
+@query("w16_split_sizes", "SELECT 'val' AS split, CAST(round_even(count(*) * 0.05, 0) AS BIGINT) AS n FROM orders UNION ALL SELECT 'train', count(*) - CAST(round_even(count(*) * 0.05, 0) AS BIGINT) FROM orders")
+def split_sizes(spark, sf_dir):
+    return split(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("w16_split")
 def split(spark, sf_dir):
     """Train and validation keys by hash; the sizes are fixed, the members are ours."""
