@@ -193,3 +193,48 @@ def test_stream_history(spark, tmp_path):
     assert [(r["seq"], r["text"]) for r in spark.table("hist").orderBy("seq").collect()] == [(2, "b"), (3, "c")]
 
 
+
+
+def test_image_headers(spark):
+    import struct
+    import zlib
+
+    from sieveloom.functions import images
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 8, 5, 8, 6, 0, 0, 0))
+    exif = b"Exif\0\0MM\0*" + struct.pack(">I", 8) + struct.pack(">H", 1) + struct.pack(">HHIHH", 0x112, 3, 1, 6, 0)
+    jpeg = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(exif) + 2) + exif + b"\xff\xc0" + struct.pack(">HBHH", 11, 8, 30, 40) + b"\0" * 8
+    lossless = b"RIFF\0\0\0\0WEBPVP8L\0\0\0\0\x2f" + struct.pack("<I", (99) | (49 << 14) | (1 << 28))
+    assert images.probe(png) == (8, 5, True) and images.probe(jpeg) == (30, 40, False) and images.probe(lossless) == (100, 50, True)
+    assert images.probe(b"junk") == (None, None, None) and images.probe(b"\x89PNG\r\n\x1a\n") == (None, None, None)
+    rows = spark.createDataFrame([(bytearray(png),), (None,)], "content binary").select(images.image_header("content").alias("h")).select("h.*")
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted([(8, 5, True), (None, None, None)], key=str)
+
+
+def test_services(spark):
+    from sieveloom.plans import services
+
+    images = spark.createDataFrame([("b/Two.png", "b/Two"), ("a/one.png", "a/one"), ("a/Zed.png", "a/Zed")], "rel string, key string")
+    assert [r["rel"] for r in services.items(images).collect()] == ["a/one.png", "a/Zed.png", "b/Two.png"]
+    assert [r["rel"] for r in services.items(images, "TWO", "b/*").collect()] == ["b/Two.png"]
+    text = lambda x: spark.createDataFrame([("a/one", x)], "key string, text string")
+    past = spark.createDataFrame([("a/one", 1, "old"), ("a/one", 2, "older")], "key string, seq int, text string")
+    assert [r["badge"] for r in services.item(images, [("revised", text("r")), ("source", text("s"))], past, "a/one").collect()] == ["revised", "source", "revised@2", "revised@1"]
+    assert [(r["text"], r["kind"]) for r in services.spans(text("1girl, @x")).collect()] == [("1girl", "tag"), ("@x", "artist")]
+    words = spark.createDataFrame([("apple",), ("smile",), ("x",), ("Hat",)], "word string")
+    assert [r["word"] for r in services.erasure_pool(words, spark.createDataFrame([("smile",)], "tag string"), [lambda w: len(w) == 5]).collect()] == ["apple"]
+
+
+def test_masks(spark):
+    from sieveloom.operators import masks
+
+    mask = np.zeros((20, 30), bool)
+    mask[2:6, 3:9] = mask[10:18, 20:24] = True
+    mask[0, 29] = True
+    assert masks.component_boxes(mask, 2) == [(20, 10, 24, 18), (3, 2, 9, 6)]
+    rows = spark.createDataFrame([("m", 0, 1, 2, bytearray([255, 9])), ("m", 1, 1, 4, bytearray([0, 255, 255, 255]))], "name string, place int, height int, width int, alpha binary")
+    assert bytes(masks.merge_masks(rows).first()["alpha"]) == bytes([0, 9])
+    assert masks.mask_overlap(np.ones(4, bool), np.array([1, 0, 0, 0], bool)) == 1.0 and masks.mask_overlap(np.zeros(4, bool), np.ones(4, bool)) is None
