@@ -40,6 +40,8 @@ BANDS = 51
 BLOCK = 512
 #: Cells of a block's incidence matrix at a time.
 CELLS = 1 << 23
+#: Rows of a written table to a file, for narrow tables and for those of documents.
+NARROW_ROWS, DOC_ROWS = 200_000, 20_000
 _U = np.uint64
 
 
@@ -178,7 +180,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable over ``edges`` (a, b), for nodes
     that have an edge. Large and small stars in turn until nothing changes; each
     round is written, and only a count and a checksum reach the driver."""
-    now = stage(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    parts = 1 + edges.count() // NARROW_ROWS  # the edges are a written table; rounds never add any
+    now = stage(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges", parts)
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -188,7 +191,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        now = stage(spark, small, "edges")
+        now = stage(spark, small, "edges", parts)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
@@ -295,37 +298,38 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = WORDS,
     component is null and it is kept. Columns beside doc_id and text are not read.
     """
     signed = stage(spark, signatures(docs, words), "signatures")
+    parts = 1 + signed.count() // DOC_ROWS
     alive = signed.where("n_shingles > 0 and doc_id is not null")
     whole = ["key_a", "key_b", "n_shingles"]
-    reps = stage(spark, alive.groupBy(*whole).agg(F.min("doc_id").alias("rep")), "classes")
+    reps = stage(spark, alive.groupBy(*whole).agg(F.min("doc_id").alias("rep")), "classes", parts)
     classes = alive.join(reps.select("rep", *whole), [alive["doc_id"] == F.col("rep"), *(alive[c] == reps[c] for c in whole)], "left_semi")
-    classes = stage(spark, classes.select("doc_id", "bands"), "class-bands")
+    classes = stage(spark, classes.select("doc_id", "bands"), "class-bands", parts)
 
     stars = stage(spark, local_stars(classes), "stars")
     least = stars.where("key is not null").groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub <> last")
     across = stars.where("key is not null").select("key", "doc").join(least.select("key", F.col("hub").alias("a")), "key").select("a", F.col("doc").alias("b"))
     pairs = stars.where("hub is not null").select(F.col("hub").alias("a"), F.col("doc").alias("b")).unionByName(across).where("a <> b").distinct()
-    pairs = stage(spark, pairs, "pairs")
-    nodes = stage(spark, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
+    pairs = stage(spark, pairs, "pairs", parts)
+    nodes = stage(spark, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates", parts)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes, "doc_id", "left_semi")
-    sets = stage(spark, full_sets(texts, words).dropDuplicates(["doc_id"]), "sets")
-    links = stage(spark, confirmed(pairs, sets, percent), "links")
-    labels = stage(spark, components(spark, links), "labels")
+    sets = stage(spark, full_sets(texts, words).dropDuplicates(["doc_id"]), "sets", parts)
+    links = stage(spark, confirmed(pairs, sets, percent), "links", parts)
+    labels = stage(spark, components(spark, links), "labels", parts)
 
     # Buckets of three and more that hold more than one component: compare the rest.
     rows = bucket_rows(classes.join(nodes, "doc_id", "left_semi"))
     named = rows.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
-    named = stage(spark, named, "bucket-rows")
+    named = stage(spark, named, "bucket-rows", parts)
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.min("doc").alias("hub"))
     mixed = mixed.where("low < high and n > 2").select("key", "hub")
-    reach = stage(spark, named.join(mixed, "key").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), "open-buckets")
+    reach = stage(spark, named.join(mixed, "key").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), "open-buckets", parts)
     if reach.limit(1).count():
         family = components(spark, reach).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
         known = labels.select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
         members = family.join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        more = stage(spark, family_links(members.join(sets, "doc_id"), percent), "links")
+        more = stage(spark, family_links(members.join(sets, "doc_id"), percent), "links", parts)
         if more.limit(1).count():
-            labels = stage(spark, components(spark, links.unionByName(more)), "labels")
+            labels = stage(spark, components(spark, stage(spark, links.unionByName(more), "links", parts)), "labels", parts)
 
     members = signed.join(reps, whole, "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "rep", "doc_id"))
