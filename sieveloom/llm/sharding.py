@@ -30,7 +30,8 @@ SEED = 77
 def ring(spark: SparkSession, shards: int, vnodes: int = VNODES, cells: int = CELLS, seed: int = SEED) -> DataFrame:
     """cell -> arc (the cell of its virtual node), shard. Two virtual nodes on one
     cell: the one with the smaller hash stands."""
-    placed = spark.range(0, shards * vnodes, numPartitions=1).select((F.col("id") % shards).cast("int").alias("shard"), F.xxhash64(F.lit(seed), "id").alias("h"))
+    placed = spark.range(0, shards * vnodes, numPartitions=1).select(F.expr(f"cast(id div {vnodes} as int)").alias("shard"), (F.col("id") % vnodes).alias("v"))
+    placed = placed.select("shard", F.xxhash64(F.lit(seed), "shard", "v").alias("h"))  # whatever the number of shards
     nodes = placed.groupBy(F.pmod("h", F.lit(cells)).alias("cell")).agg(F.min(F.struct("h", "shard")).alias("node"))
     all_cells = spark.range(0, cells, numPartitions=1).withColumnRenamed("id", "cell").join(nodes, "cell", "left")
     here = F.when(F.col("node").isNotNull(), F.struct(F.col("cell").alias("arc"), F.col("node.shard").alias("shard")))
