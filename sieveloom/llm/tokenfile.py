@@ -13,6 +13,7 @@ files come whole or not at all, in any store.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,11 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK_TOKENS = 1 << 20
+from .bpe import byte_alphabet
+
+BLOCK_TOKENS = 1 << 18
 SAMPLE = 512
 END_ID = 2
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 CACHE_WORD_CHARS = 64
+#: Words of Latin-1 letters and printable ASCII but ' and <, with which contractions and
+#: special tokens begin:
+#: composition leaves them alone, and their pieces are runs of letters, single digits
+#: and runs of other signs.
+PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+").fullmatch
+PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+SYMBOLS = dict(enumerate(byte_alphabet()))
 
 FILE_SCHEMA = "part int, seq int, n long, bits int, zeros array<long>, planes array<binary>, ranks array<binary>, doc_ids binary, has_doc_id binary, lengths binary"
 
@@ -45,16 +55,16 @@ class Block:
         zeros, planes, ranks = [], [], []
         now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         for b in range(bits - 1, -1, -1):
-            ones = (now >> b) & 1 != 0
+            ones = (now & now.dtype.type(1 << b)) != 0
             packed = np.packbits(ones, bitorder="little")
             whole = np.zeros(-(-len(ones) // SAMPLE) * SAMPLE // 8, np.uint8)
             whole[: len(packed)] = packed
             per = np.bitwise_count(whole).reshape(-1, SAMPLE // 8).sum(1, dtype=np.uint32)
             planes.append(packed.tobytes())
             ranks.append(np.concatenate([np.zeros(1, np.uint32), np.cumsum(per, dtype=np.uint32)]).astype("<u4").tobytes())
-            low, high = now[~ones], now[ones]
+            low, high = np.flatnonzero(~ones), np.flatnonzero(ones)  # places gather faster than masks
             zeros.append(len(low))
-            now = np.concatenate([low, high])
+            now = now.take(np.concatenate([low, high]))
         return cls(len(ids), zeros, planes, ranks)
 
     def _ones(self, k: int, i: int) -> int:
@@ -112,49 +122,68 @@ class Block:
         kind = np.uint16 if self.bits <= 16 else np.uint32
         after = np.zeros(self.n, kind)
         for k in range(self.bits - 1, -1, -1):
-            ones = np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
+            ones = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             before = np.empty(self.n, kind)
-            before[~ones] = after[: self.zeros[k]]
-            before[ones] = after[self.zeros[k] :] | kind(1 << self.bits - 1 - k)
+            before[np.flatnonzero(~ones)] = after[: self.zeros[k]]
+            before[np.flatnonzero(ones)] = after[self.zeros[k] :] | kind(1 << self.bits - 1 - k)
             after = before
         return after
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """The tokenizers library, asked once per word: these tokenizers drop white
     space and let nothing cross it, so a text's ids are its words' ids in turn.
     Words are cut at spaces and line feeds only, which is finer than no cut and
-    never inside anything the tokenizer sees as one."""
+    never inside anything the tokenizer sees as one.
+
+    The encoder is the table of words it knows (ids as little-endian unsigned
+    32-bit integers), looked up without Python code; a word that is missing is
+    encoded. A full table becomes the old one and a new one begins."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.young: dict[str, bytes] = {"": b""}
+        self.model = self.tokenizer.model
+        self.pieces: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self._ids(word)
+        if len(word) <= CACHE_WORD_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def _ids(self, word: str) -> bytes:
+        """Ids of one word. A plain word is cut into the tokenizer's pieces here and the
+        library's model encodes each piece once; any other goes to the library whole."""
+        if not PLAIN(word):
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        out = []
+        for piece in PIECES(word.lower()):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                symbols = piece if piece.isascii() else piece.encode().decode("latin-1").translate(SYMBOLS)
+                ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(symbols)])
+                if len(piece) <= CACHE_WORD_CHARS:
+                    if len(self.pieces) >= CACHE_WORDS:
+                        self.pieces.clear()
+                    self.pieces[piece] = ids
+            out.append(ids)
+        return b"".join(out)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.young) >= CACHE_WORDS:
-            self.old, self.young = self.young, {"": b""}
-        young, old, once = self.young, self.old, {}
-        new = {w for ws in cut for w in ws if w not in young}
-        ask = []
-        for w in new:
-            if w in old:
-                young[w] = old[w]
-            else:
-                ask.append(w)
-        for i in range(0, len(ask), 4096):
-            part = ask[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                (young if len(w) <= CACHE_WORD_CHARS else once)[w] = np.array(e.ids, "<u4").tobytes()
-        if once:
-            return [b"".join([young[w] if w in young else once[w] for w in ws]) for ws in cut]
-        return [b"".join([young[w] for w in ws]) for ws in cut]
+        known = self.__getitem__
+        return [b"".join(map(known, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 @lru_cache(maxsize=2)
