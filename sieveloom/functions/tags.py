@@ -229,11 +229,13 @@ def underscore_to_space(c: Column) -> Column:
 
 
 def distinct_by_key(tags: Column) -> Column:
-    """The first tag of each key, spelled as it stands; empty keys go."""
-    keyed = F.transform(tags, lambda t, i: F.struct(normalize_tag(t).alias("k"), i.alias("i"), t.alias("t")))
-    keys = F.transform(tags, normalize_tag)
-    first = F.filter(keyed, lambda x: (x["k"] != "") & (F.array_position(keys, x["k"]) == x["i"] + 1))
-    return F.transform(first, lambda x: x["t"])
+    """The first tag of each key, spelled as it stands; empty keys go. Sorted by key and
+    place, a tag is first where its key differs from the one before."""
+    keyed = F.array_sort(F.transform(tags, lambda t, i: F.struct(normalize_tag(t).alias("k"), i.alias("i"), t.alias("t"))))
+    before = F.concat(F.array(F.lit(None).cast("struct<k:string,i:int,t:string>")), F.slice(keyed, 1, F.greatest(F.size(tags) - 1, F.lit(0))))
+    marked = F.zip_with(keyed, before, lambda x, p: F.struct(x["i"].alias("i"), x["t"].alias("t"), ((x["k"] != "") & (p["k"].isNull() | (p["k"] != x["k"]))).alias("first")))
+    first = F.when(F.size(tags) == 0, F.array().cast("array<struct<i:int,t:string,first:boolean>>")).otherwise(F.filter(marked, lambda x: x["first"]))
+    return F.transform(F.array_sort(first), lambda x: x["t"])
 
 
 def clean_markup(body: Column, longest: int = 600) -> Column:

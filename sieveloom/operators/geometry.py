@@ -349,26 +349,38 @@ def choose_edge(width: Column, height: Column, tiers: tuple[int, ...] = tuple(ED
 
 
 def grids(spark: SparkSession, edges: tuple[int, ...] = tuple(EDGE_BANDS), cap: int = AXIS_CAP) -> DataFrame:
-    """(edge, hp, wp): every patch grid in a tier's band; a table of fixed size."""
+    """(edge, bands): for each grid height hp of a tier the widths low to high in its
+    band; a table of fixed size."""
     rows = []
     for edge in edges:
         low, high = EDGE_BANDS[edge]
         if edge not in FROZEN_EDGES:
             low, high = round(low * (1 - BAND_TOLERANCE)), round(high * (1 + BAND_TOLERANCE))
-        rows += [(edge, hp, wp) for hp in range(1, min(cap, high) + 1) for wp in range(max(1, -(-low // hp)), min(cap, high // hp) + 1)]
-    return spark.createDataFrame(rows, "edge int, hp int, wp int")
+        spans = ((edge, hp, max(1, -(-low // hp)), min(cap, high // hp)) for hp in range(1, min(cap, high) + 1))
+        rows.append((edge, [r[1:] for r in spans if r[2] <= r[3]]))
+    return spark.createDataFrame(rows, "edge int, bands array<struct<hp:int,low:int,high:int>>")
 
 
 def fit_buckets(spark: SparkSession, images: DataFrame, tiers: tuple[int, ...] = tuple(EDGE_BANDS), max_ratio: float = MAX_RATIO) -> DataFrame:
     """images (image, width, height) with edge, bucket_width, bucket_height: the grid of
     the tier with the nearest aspect, then the least rescaling, then the smallest shape.
-    Sizes repeat, so each distinct size is solved once."""
+    Sizes repeat, so each distinct size is solved once; of the widths of a height
+    only the two around the aspect can be nearest."""
     w, h = F.col("width").cast("double"), F.col("height").cast("double")
     sizes = images.select("width", "height").distinct().withColumn("edge", choose_edge(w, h, tiers))
     near = F.least(F.greatest(w / h, F.lit(1 / max_ratio)), F.lit(float(max_ratio)))
-    cover = F.greatest(F.col("wp") * PATCH / w, F.col("hp") * PATCH / h)
-    key = F.struct(F.round(F.abs(F.col("wp") / F.col("hp") - near), 12).alias("a"), F.round(F.abs(F.ln(cover)), 12).alias("c"), "hp", "wp")
-    best = sizes.join(F.broadcast(grids(spark, tiers)), "edge").groupBy("width", "height", "edge").agg(F.min(key).alias("best"))  # a fixed table
+    sizes = sizes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "width", "height")  # few bytes, much work
+    rows = sizes.withColumn("near", near).join(F.broadcast(grids(spark, tiers)), "edge")  # a fixed table
+
+    def key(band: Column, wp: Column) -> Column:
+        wp = F.least(F.greatest(wp.cast("int"), band["low"]), band["high"])
+        cover = F.greatest(wp * PATCH / w, band["hp"] * PATCH / h)
+        whole = lambda x: F.floor(x * 1e12 + 0.5)  # noqa: E731  (twelve places, without decimals)
+        return F.struct(whole(F.abs(wp / band["hp"] - F.col("near"))).alias("a"), whole(F.abs(F.ln(cover))).alias("c"), band["hp"].alias("hp"), wp.alias("wp"))
+
+    around = lambda f: F.transform("bands", lambda band: key(band, f(F.col("near") * band["hp"])))
+    nearest = F.array_min(F.concat(around(F.floor), around(F.ceil)))
+    best = rows.select("width", "height", "edge", F.explode(F.array(nearest)).alias("best"))  # a generator, so it is worked out once
     best = best.select("width", "height", "edge", (F.col("best.wp") * PATCH).alias("bucket_width"), (F.col("best.hp") * PATCH).alias("bucket_height"))
     return images.join(best, ["width", "height"])
 

@@ -752,10 +752,10 @@ def publish_revert(spark, sf_dir):
     return state.publish_revert(_publish(spark, sf_dir))
 
 
-@query("h15_b03_overwrite_by_key", "SELECT DISTINCT conv_id AS page, turn AS seq, CASE WHEN conv_id % 2 = 0 THEN upper(left(text, 3)) ELSE left(text, 3) END AS text FROM conversations WHERE NOT (conv_id % 2 = 0 AND role = 'system')")
+@query("h15_b03_overwrite_by_key", "SELECT DISTINCT conv_id AS page, turn AS seq, CASE WHEN conv_id % 2 = 0 THEN reverse(left(text, 3)) ELSE left(text, 3) END AS text FROM conversations WHERE NOT (conv_id % 2 = 0 AND role = 'system')")
 def overwrite_by_key(spark, sf_dir):
     old = _lines(spark, sf_dir).select("page", "seq", F.substr("text", F.lit(1), F.lit(3)).alias("text"), "kind")
-    new = old.where("page % 2 = 0").select("page", "seq", F.when(F.col("kind") == "system", "").otherwise(F.upper("text")).alias("text"))
+    new = old.where("page % 2 = 0").select("page", "seq", F.when(F.col("kind") == "system", "").otherwise(F.reverse("text")).alias("text"))
     return state.overwrite_by_key(old.drop("kind"), new, ["page"], F.col("text") == "").distinct()
 
 
