@@ -64,7 +64,7 @@ class Block:
             ranks.append(np.concatenate([np.zeros(1, np.uint32), np.cumsum(per, dtype=np.uint32)]).astype("<u4").tobytes())
             low, high = np.flatnonzero(~ones), np.flatnonzero(ones)  # places gather faster than masks
             zeros.append(len(low))
-            now = now.take(np.concatenate([low, high]))
+            now = np.concatenate([now.take(low), now.take(high)])
         return cls(len(ids), zeros, planes, ranks)
 
     def _ones(self, k: int, i: int) -> int:
