@@ -82,7 +82,7 @@ def _permuted(position, n, key, rounds: int = ROUNDS):
 
 
 def draw_slots(spark: SparkSession, targets: DataFrame, *, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """One row per output slot: shard, source_index, draw, block, take (words)."""
+    """One row per output slot: shard, source_index, draw, sweep (pass over the source), block, take (words)."""
     quotas = _quotas(targets, block)
     order = Window.orderBy("source_index")
     scale = F.sum("quota").over(Window.partitionBy())
@@ -113,7 +113,7 @@ def draw_slots(spark: SparkSession, targets: DataFrame, *, block: int = BLOCK_WO
     key = F.xxhash64(F.lit(seed), "source_index", "sweep")
     index = F.when(F.col("position") < F.col("n_full"), _permuted(F.col("position"), F.col("n_full"), key)).otherwise(F.col("n_full"))
     used = F.col("sweep") * F.col("source_size") + F.col("position") * block
-    return each.select("shard", "source_index", "draw", index.alias("block"), F.least(F.lit(block), F.col("budget") - used).alias("take"))
+    return each.select("shard", "source_index", "draw", "sweep", index.alias("block"), F.least(F.lit(block), F.col("budget") - used).alias("take"))
 
 
 def with_offsets(sizes: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
@@ -134,8 +134,8 @@ def mix_spans(spark: SparkSession, sizes: DataFrame, *, key: str, block: int = B
 
     rows: sizes with source_size, target, source_index and offset. spans: the
     mix, one row for each stretch of one document in one slot: shard,
-    source_index, draw, offset (the document's) and first, last (words of the
-    source's stream, last excluded).
+    source_index, draw, sweep, offset (the document's) and first, last (words of
+    the source's stream, last excluded).
     """
     targets = stage(spark, source_targets(sizes, weights, cap), "mix-targets", 1)  # a row per source
     slots = draw_slots(spark, targets, block=block, seed=seed)
@@ -145,7 +145,7 @@ def mix_spans(spark: SparkSession, sizes: DataFrame, *, key: str, block: int = B
     pieces = rows.where("size > 0").select("source_index", "offset", "size", F.explode(F.sequence(F.expr(f"offset div {block}"), F.expr(f"(offset + size - 1) div {block}"))).alias("block"))
     start = F.col("block") * block
     spans = slots.join(pieces, ["source_index", "block"]).select(
-        "shard", "source_index", "draw", "offset",
+        "shard", "source_index", "draw", "sweep", "offset",
         F.greatest(start, "offset").alias("first"), F.least(start + F.col("take"), F.col("offset") + F.col("size")).alias("last"),
     )
     return rows, spans.where("last > first")
@@ -169,22 +169,27 @@ def mix(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as often as the mix takes them, with their columns: a document of
-    which it takes t of s words comes t div s times whole, and once more with its
-    first t mod s words (n_chars follows the text). Documents without words have
-    nothing to take and go. Our own columns are named ``_mix_*``."""
+    """``docs`` as often as the mix takes them, with their columns: a document comes
+    once for each pass over its source that draws words of it, whole or with the
+    words of the blocks drawn, in their order (n_chars follows the text).
+    Documents without words have nothing to take and go. Our own columns are
+    named ``_mix_*``."""
     marked = docs.withColumn("_mix_row", F.monotonically_increasing_id()).withColumn("_mix_key", F.xxhash64("doc_id", "text"))
     table = stage(spark, marked, "mix-docs")
     sizes = stage(spark, table.select("_mix_row", "_mix_key", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
     # Rows stand by content, so reruns agree; equal rows may trade places.
     rows, spans = mix_spans(spark, sizes, key="_mix_key", **options)
-    taken = spans.groupBy("source_index", "offset").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
-    plan = rows.where("size > 0").join(taken, ["source_index", "offset"]).select("_mix_row", F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
-    copies = table.drop("_mix_key").join(plan, "_mix_row").withColumn("_mix_copy", F.explode(F.expr("sequence(1, cast(ceil(_mix_taken / _mix_size) as int))")))
-    left = F.expr("_mix_taken - (_mix_copy - 1) * _mix_size")
-    whole = left >= F.col("_mix_size")
-    words = F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, F.greatest(left, F.lit(1)).cast("int"))
-    copies = copies.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(words, "")))
+    # A pass reads each block once, so its stretches of a document do not overlap.
+    stretch = F.struct((F.col("first") - F.col("offset")).cast("int").alias("start"), (F.col("last") - F.col("first")).cast("int").alias("n"))
+    drawn = spans.groupBy("source_index", "offset", "sweep").agg(F.sum(F.col("last") - F.col("first")).alias("_mix_taken"), F.sort_array(F.collect_list(stretch)).alias("_mix_parts"))
+    plan = rows.where("size > 0").join(drawn, ["source_index", "offset"]).select("_mix_row", (F.col("_mix_taken") == F.col("size")).alias("_mix_whole"), "_mix_parts")
+    copies = table.drop("_mix_key").join(plan, "_mix_row")
+    whole = F.col("_mix_whole")
+    words = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    # An array of one binds the words to a name: a text is split once, not once a stretch.
+    cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_mix_parts", lambda p: F.slice(w, p["start"] + 1, p["n"]))), ""))[0]
+    cut = F.when(F.col("_mix_parts")[0]["start"] > 0, F.regexp_replace(cut, r"^[\x20\x09-\x0D]+", "")).otherwise(cut)
+    copies = copies.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         copies = copies.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.char_length("text")).cast(kind))

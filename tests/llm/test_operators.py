@@ -104,6 +104,27 @@ def test_mixed_documents_take_whole_words(spark, odd):
     assert abs(sum(got.values()) - sum(r["t"] for r in plan)) <= 3 * 4 + 6
 
 
+def test_mixed_documents_have_the_words_drawn(spark):
+    """One long hot document, one that straddles borders, and a source read again and again."""
+    texts = [(1, "hot", 203), (2, "hot", 30), (3, "mid", 9), (4, "mid", 50), (5, "up", 11), (6, "up", 1)]
+    rows = [(i, " ".join(f"{source}{i}_{k}" for k in range(n)), source) for i, source, n in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    options = dict(block=8, weights=(1, 2, 5), cap=4)
+    sizes = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), "source", F.size(F.split("text", " ")).cast("long").alias("size")).cache()
+    laid, spans = mixing.mix_spans(spark, sizes, key="k", **options)
+    at = {(r["source_index"], r["offset"]): r for r in laid.collect()}
+    words = {i: text.split() for i, text, _ in rows}
+    passes = collections.defaultdict(list)
+    for s in spans.collect():
+        r = at[s["source_index"], s["offset"]]
+        sweep = s["draw"] // -(-r["source_size"] // 8)
+        passes[r["doc_id"], sweep] += range(s["first"] - s["offset"], s["last"] - s["offset"])
+    want = sorted((i, " ".join(words[i][k] for k in sorted(ks))) for (i, _), ks in passes.items())
+    got = sorted((r["doc_id"], r["text"]) for r in mixing.mixed_documents(spark, docs, **options).collect())
+    assert got == want
+    assert any(len(ks) < len(words[i]) and sorted(ks) != list(range(len(ks))) for (i, _), ks in passes.items())
+
+
 # 2 ---------------------------------------------------------------------------
 def test_shards_are_even_and_gapless(spark, docs):
     rows = sharding.shard_rows(spark, docs, 24).toPandas()
