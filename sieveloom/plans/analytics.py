@@ -355,6 +355,21 @@ def line_dedupe(spark, sf_dir):
     return joins.deduped_lines(rows, F.concat_ws("|", "kind", F.btrim(F.substr("text", F.lit(1), F.lit(2))))).select("page", "seq", "kind")
 
 
+#: What Python's strip() takes off.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def whole_line_key():
+    return F.concat_ws("|", "kind", F.btrim("text", F.lit(SPACES)))
+
+
+@query("t01_t03_whole_line_dedupe", f"""
+SELECT page, seq, kind FROM (SELECT conv_id AS page, turn AS seq, role AS kind, row_number() OVER (PARTITION BY conv_id, role, trim(text, {d.quoted(SPACES)}) ORDER BY turn) AS r FROM conversations) WHERE r = 1""")
+def whole_line_dedupe(spark, sf_dir):
+    """Lines without later repeats of their whole trimmed text."""
+    return joins.deduped_lines(_lines(spark, sf_dir), whole_line_key()).select("page", "seq", "kind")
+
+
 @query("w10_renumber", "SELECT conv_id AS page, turn AS seq, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS place FROM conversations WHERE role <> 'system'")
 def renumber(spark, sf_dir):
     rows = _lines(spark, sf_dir).where("kind <> 'system'")

@@ -238,3 +238,13 @@ def test_masks(spark):
     rows = spark.createDataFrame([("m", 0, 1, 2, bytearray([255, 9])), ("m", 1, 1, 4, bytearray([0, 255, 255, 255]))], "name string, place int, height int, width int, alpha binary")
     assert bytes(masks.merge_masks(rows).first()["alpha"]) == bytes([0, 9])
     assert masks.mask_overlap(np.ones(4, bool), np.array([1, 0, 0, 0], bool)) == 1.0 and masks.mask_overlap(np.zeros(4, bool), np.ones(4, bool)) is None
+
+
+def test_line_dedupe_keys_on_the_whole_text(spark, tmp_path):
+    from sieveloom.plans.registry import QUERIES
+
+    texts = ["hello there", "hello you", "hello there\u3000\n", "he", " hello you", "help"]
+    rows = [(1, i, "user", x) for i, x in enumerate(texts)] + [(1, 9, "system", "he"), (2, 0, "user", "he")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["t01_t03_whole_line_dedupe"](spark, str(tmp_path)).collect()
+    assert sorted((r["page"], r["seq"]) for r in got) == [(1, 0), (1, 1), (1, 3), (1, 5), (1, 9), (2, 0)]
