@@ -248,3 +248,12 @@ def test_line_dedupe_keys_on_the_whole_text(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = QUERIES["t01_t03_whole_line_dedupe"](spark, str(tmp_path)).collect()
     assert sorted((r["page"], r["seq"]) for r in got) == [(1, 0), (1, 1), (1, 3), (1, 5), (1, 9), (2, 0)]
+
+
+def test_crops_and_masks_take_every_box(spark, sf_dir):
+    from sieveloom.plans.registry import QUERIES
+
+    n = domain.boxes(spark, sf_dir).count()
+    assert QUERIES["k24_mask_coverage_all"](spark, sf_dir).count() == n
+    assert QUERIES["r08_r10_clause_tags"](spark, sf_dir).where("crop > 3").count() > 0
+    assert QUERIES["r09_bag_removals_all"](spark, sf_dir).where("crop > 3").count() > 0
