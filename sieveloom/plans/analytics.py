@@ -774,6 +774,14 @@ def overwrite_by_key(spark, sf_dir):
     return state.overwrite_by_key(old.drop("kind"), new, ["page"], F.col("text") == "").distinct()
 
 
+@query("h15_b03_overwrite_whole_text", "SELECT DISTINCT conv_id AS page, turn AS seq, CASE WHEN conv_id % 2 = 0 THEN text || '|' || role ELSE text END AS text FROM conversations WHERE NOT (conv_id % 2 = 0 AND role = 'system')")
+def overwrite_whole_text(spark, sf_dir):
+    """Whole lines; the new text of a line ends in its role."""
+    old = _lines(spark, sf_dir).select("page", "seq", "text", "kind")
+    new = old.where("page % 2 = 0").select("page", "seq", F.when(F.col("kind") == "system", "").otherwise(F.concat_ws("|", "text", "kind")).alias("text"))
+    return state.overwrite_by_key(old.drop("kind"), new, ["page"], F.col("text") == "").distinct()
+
+
 # Streams ---------------------------------------------------------------------
 @query("q01_q05_progress_stream", "SELECT event_type AS step, count(*) AS n, CAST(max(event_id) AS BIGINT) AS done FROM events GROUP BY 1")
 def progress_stream(spark, sf_dir):

@@ -257,3 +257,12 @@ def test_crops_and_masks_take_every_box(spark, sf_dir):
     assert QUERIES["k24_mask_coverage_all"](spark, sf_dir).count() == n
     assert QUERIES["r08_r10_clause_tags"](spark, sf_dir).where("crop > 3").count() > 0
     assert QUERIES["r09_bag_removals_all"](spark, sf_dir).where("crop > 3").count() > 0
+
+
+def test_overwrite_keeps_whole_lines(spark, tmp_path):
+    from sieveloom.plans.registry import QUERIES
+
+    rows = [(1, 0, "user", "abcdef"), (1, 0, "user", "abcxyz"), (2, 0, "system", "gone"), (2, 1, "user", "a long line")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["h15_b03_overwrite_whole_text"](spark, str(tmp_path)).collect()
+    assert sorted((r["page"], r["seq"], r["text"]) for r in got) == [(1, 0, "abcdef"), (1, 0, "abcxyz"), (2, 1, "a long line|user")]
