@@ -151,6 +151,28 @@ def suppress(boxes: DataFrame, iou_limit: float = 0.65, containment_limit: float
     return _per_image(boxes, pick, boxes.schema)
 
 
+def suppression_pairs(boxes: DataFrame, iou_limit: float = 0.65) -> DataFrame:
+    """Each box that greedy suppression by IoU drops, with the first kept box that it
+    meets: image, kept, dropped, kept_score, dropped_score."""
+
+    def pick(pdf: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+        xy, score, box = pdf[["x0", "y0", "x1", "y1"]].to_numpy(float), pdf["score"].to_numpy(), pdf["box"].to_numpy()
+        kept, gone = [], []
+        for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
+            stay: list[int] = []
+            for i in (a + np.lexsort((box[a:b], -score[a:b]))).tolist():
+                hits = np.flatnonzero(_np_iou(xy[i], xy[stay])[0] >= iou_limit) if stay else ()
+                if len(hits):
+                    kept.append(stay[hits[0]])
+                    gone.append(i)
+                else:
+                    stay.append(i)
+        return pd.DataFrame({"image": pdf["image"].to_numpy()[gone], "kept": box[kept], "dropped": box[gone], "kept_score": score[kept], "dropped_score": score[gone]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in boxes.schema}
+    return _per_image(boxes, pick, f"image {kinds['image']}, kept {kinds['box']}, dropped {kinds['box']}, kept_score {kinds['score']}, dropped_score {kinds['score']}")
+
+
 def merge_parts(subjects: DataFrame, parts: DataFrame, iou_limit: float = 0.65, containment_limit: float = 0.7) -> DataFrame:
     """All subjects, and parts by score that meet nothing kept so far."""
     rows = subjects.withColumn("_part", F.lit(0)).unionByName(parts.withColumn("_part", F.lit(1)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tags as t
 from ..operators import clauses as cl
-from ..operators import masks
+from ..operators import geometry, masks
 from . import domain as d
 from .registry import QUERIES, query
 
@@ -211,6 +211,31 @@ def suppression_counts(spark, sf_dir):
     return kept.select("image").unionByName(gone.select("image")).agg(F.count(F.lit(1)).alias("n"))
 
 
+FLOORS = (0.9, 0.93, 0.96, 0.99)
+
+
+def _pairs_by_floor(spark, sf_dir):
+    # By score, a box below a floor never decides on one above it: one replay holds for all floors.
+    floors = F.explode(F.filter(F.array(*map(F.lit, FLOORS)), lambda f: F.col("dropped_score") >= f))
+    return geometry.suppression_pairs(d.boxes(spark, sf_dir)).withColumn("floor", floors)
+
+
+@query("k25_suppression_pairs")
+def suppression_pairs(spark, sf_dir):
+    """(kept, dropped) pairs of the boxes above each score floor."""
+    return _pairs_by_floor(spark, sf_dir).select("floor", "image", "kept", "dropped", "kept_score", "dropped_score")
+
+
+@query("k25_suppression_audit")
+def suppression_audit(spark, sf_dir):
+    """Kept and suppressed boxes above each score floor."""
+    above = F.explode(F.filter(F.array(*map(F.lit, FLOORS)), lambda f: F.col("score") >= f))
+    total = d.boxes(spark, sf_dir).select(above.alias("floor")).groupBy("floor").agg(F.count(F.lit(1)).alias("n"))
+    gone = _pairs_by_floor(spark, sf_dir).groupBy("floor").agg(F.count(F.lit(1)).alias("g"))
+    lost = F.coalesce("g", F.lit(0))
+    return total.join(gone, "floor", "left").select("floor", (F.col("n") - lost).alias("kept"), lost.alias("suppressed"))
+
+
 def stages():
     """Names and runners of all registered queries: the stage registry."""
     return dict(QUERIES)

@@ -266,3 +266,34 @@ def test_overwrite_keeps_whole_lines(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = QUERIES["h15_b03_overwrite_whole_text"](spark, str(tmp_path)).collect()
     assert sorted((r["page"], r["seq"], r["text"]) for r in got) == [(1, 0, "abcdef"), (1, 0, "abcxyz"), (2, 1, "a long line|user")]
+
+
+def test_suppression_audit_equals_a_replay(spark, sf_dir):
+    from sieveloom.plans.images import FLOORS
+    from sieveloom.plans.registry import QUERIES
+
+    def iou(a, b):
+        both = max(min(a["x1"], b["x1"]) - max(a["x0"], b["x0"]), 0) * max(min(a["y1"], b["y1"]) - max(a["y0"], b["y0"]), 0)
+        area = lambda r: (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
+        return both / (area(a) + area(b) - both)
+
+    images = {}
+    for r in domain.boxes(spark, sf_dir).collect():
+        images.setdefault(r["image"], []).append(r)
+    pairs, counts = set(), {}
+    for floor in FLOORS:
+        kept = gone = 0
+        for image, rows in images.items():
+            keep = []
+            for r in sorted((r for r in rows if r["score"] >= floor), key=lambda r: (-r["score"], r["box"])):
+                hit = next((k for k in keep if iou(r, k) >= 0.65), None)
+                if hit is None:
+                    keep.append(r)
+                else:
+                    gone += 1
+                    pairs.add((floor, image, hit["box"], r["box"]))
+            kept += len(keep)
+        counts[floor] = (kept, gone)
+    assert sum(g for _, g in counts.values()) > 0
+    assert {tuple(r)[:4] for r in QUERIES["k25_suppression_pairs"](spark, sf_dir).collect()} == pairs
+    assert {r["floor"]: (r["kept"], r["suppressed"]) for r in QUERIES["k25_suppression_audit"](spark, sf_dir).collect()} == counts
