@@ -318,6 +318,13 @@ def sound_words(spark, sf_dir):
     return rows.select("text", ln.sound_key(c).alias("sound"), ln.line_kind(c).alias("kind"))
 
 
+@query("f31_f32_line_sounds")
+def line_sounds(spark, sf_dir):
+    """Sound key and kind of every line."""
+    c = F.col("text")
+    return _lines(spark, sf_dir).select("page", "seq", ln.sound_key(c).alias("sound"), ln.line_kind(c).alias("kind"))
+
+
 @query("f34_f39_read_guard")
 def read_guard(spark, sf_dir):
     """Normalized reads that neither run away nor overflow their box."""

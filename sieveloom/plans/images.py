@@ -302,6 +302,15 @@ def quoted_spans(spark, sf_dir):
     return d.captions(spark).select("id", F.array_join(spans(F.col("text")), "|").alias("spans"))
 
 
+@query("g06_document_quoted_spans", """
+SELECT doc_id AS id, array_to_string(regexp_extract_all(text, '「[^「」]*」|『[^『』]*』|"[^"]*"'), '|') AS spans FROM documents""")
+def document_quoted_spans(spark, sf_dir):
+    """Quoted spans of every document."""
+    from ..functions.grammar import quoted_spans as spans
+
+    return d.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(spans(F.col("text")), "|").alias("spans"))
+
+
 @query("z01_m01_scored_batches", "SELECT doc_id, length(text) AS score FROM documents")
 def scored_batches(spark, sf_dir):
     """A stub model over document batches."""

@@ -297,3 +297,18 @@ def test_suppression_audit_equals_a_replay(spark, sf_dir):
     assert sum(g for _, g in counts.values()) > 0
     assert {tuple(r)[:4] for r in QUERIES["k25_suppression_pairs"](spark, sf_dir).collect()} == pairs
     assert {r["floor"]: (r["kept"], r["suppressed"]) for r in QUERIES["k25_suppression_audit"](spark, sf_dir).collect()} == counts
+
+
+def test_span_and_sound_queries_read_their_tables(spark, sf_dir, tmp_path):
+    from sieveloom.plans import analytics
+    from sieveloom.plans.registry import QUERIES
+
+    docs = [(100 + i, c) for i, c in enumerate(domain.CAPTIONS)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, i, "user", x) for i, x in enumerate(analytics.SOUNDS)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = sorted((i, s["start"], s["end"]) for i, c in docs for s in g.tag_spans(c))
+    assert sorted((r["id"], r["start"], r["end"]) for r in QUERIES["g01_z05_caption_spans"](spark, str(tmp_path)).collect()) == want
+    quoted = {r["id"] + 100: r["spans"] for r in QUERIES["g06_quoted_spans"](spark, sf_dir).collect()}
+    assert {r["id"]: r["spans"] for r in QUERIES["g06_document_quoted_spans"](spark, str(tmp_path)).collect()} == quoted
+    words = {r["text"]: (r["sound"], r["kind"]) for r in QUERIES["f31_f32_sound_words"](spark, sf_dir).collect()}
+    assert {analytics.SOUNDS[r["seq"]]: (r["sound"], r["kind"]) for r in QUERIES["f31_f32_line_sounds"](spark, str(tmp_path)).collect()} == words
