@@ -24,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import stage
+from .common import discard, stage, with_ids, without_ids
 
 WORDS = 5
 PERCENT = 80
@@ -40,8 +40,9 @@ BANDS = 51
 BLOCK = 512
 #: Cells of a block's incidence matrix at a time.
 CELLS = 1 << 23
-#: Rows of a written table to a file, for narrow tables and for those of documents.
-NARROW_ROWS, DOC_ROWS = 200_000, 20_000
+#: Rows of a written table to a file, for narrow tables and for those of documents,
+#: and bytes of shingles to a task where whole sets move.
+NARROW_ROWS, DOC_ROWS, SET_BYTES = 200_000, 20_000, 8 << 20
 _U = np.uint64
 
 
@@ -177,10 +178,11 @@ def local_stars(classes: DataFrame) -> DataFrame:
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable over ``edges`` (a, b), for nodes
-    that have an edge. Large and small stars in turn until nothing changes; each
-    round is written, and only a count and a checksum reach the driver."""
-    parts = 1 + edges.count() // NARROW_ROWS  # the edges are a written table; rounds never add any
+    """(node, component), staged: the least node reachable over ``edges`` (a, b), a
+    written table, for nodes that have an edge. Large and small stars in turn until
+    nothing changes; each round is written and the one before it deleted, and only a
+    count and a checksum reach the driver."""
+    parts = 1 + edges.count() // NARROW_ROWS  # rounds never add edges
     now = stage(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges", parts)
     mark = None
     while True:
@@ -191,12 +193,16 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        now = stage(spark, small, "edges", parts)
+        before, now = now, stage(spark, small, "edges", parts)
+        discard(before)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
         mark = seen
-    return now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(now.select("b", "b").toDF("node", "component").distinct())
+    found = now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(now.select("b", "b").toDF("node", "component").distinct())
+    found = stage(spark, found, "labels", parts)
+    discard(now)
+    return found
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -245,16 +251,27 @@ def block_links(doc: np.ndarray, part: np.ndarray, label: np.ndarray, cuts: np.n
     return doc[left[i]], doc[right[j]]
 
 
+def _size_classes(size: Column, percent: int) -> Column:
+    """The one or two classes of a set's size. Sets that are similar enough differ in
+    size by a factor of 100 / percent at most, which is a step of classes, so they
+    have a class in common: each set stands in its own and in the next one."""
+    step = F.floor(F.log(size.cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    return F.array(step, step + 1) if percent < 100 else F.array(size.cast("int"))
+
+
 def family_links(members: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """members (doc_id, family, label, shingles) -> links (a, b) across labels inside
-    a family. Each pair of a family's blocks is one bounded step."""
-    sizes = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int"))
+    a family. Members meet by classes of like size, and each pair of blocks of a
+    class is one bounded step."""
+    members = members.withColumn("like", F.explode(_size_classes(F.size("shingles"), percent)))
+    sizes = members.groupBy("family", "like").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high"))
+    sizes = sizes.where("low < high").drop("low", "high")
+    dealt = members.join(sizes, ["family", "like"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    dealt = dealt.select("family", low.alias("i"), high.alias("j"), (F.col("own") == high).cast("int").alias("part"), "doc_id", "label", "shingles")
+    dealt = dealt.select("family", "like", low.alias("i"), high.alias("j"), (F.col("own") == high).cast("int").alias("part"), "doc_id", "label", "shingles")
     partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(partitions, "family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id")
+    dealt = dealt.repartition(partitions, "family", "like", "i", "j").sortWithinPartitions("family", "like", "i", "j", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -265,12 +282,12 @@ def family_links(members: DataFrame, percent: int = PERCENT, block: int = BLOCK)
             x = t["shingles"].combine_chunks() if isinstance(t["shingles"], pa.ChunkedArray) else t["shingles"]
             x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
             cuts = np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy())])
-            a, b = block_links(t["doc_id"].to_numpy(), t["part"].to_numpy(), t["label"].to_numpy(), cuts, x.flatten().to_numpy(), name[1] == name[2], percent)
-            first = a < b if name[1] == name[2] else np.ones(len(a), bool)
+            a, b = block_links(t["doc_id"].to_numpy(), t["part"].to_numpy(), t["label"].to_numpy(), cuts, x.flatten().to_numpy(), name[2] == name[3], percent)
+            first = a < b if name[2] == name[3] else np.ones(len(a), bool)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[first]), pa.array(np.maximum(a, b)[first])], names=["a", "b"])
 
         for batch in batches:
-            group = np.stack([batch.column(c).to_numpy() for c in ("family", "i", "j")], 1)
+            group = np.stack([batch.column(c).to_numpy() for c in ("family", "like", "i", "j")], 1)
             if not len(group):
                 continue
             cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1).tolist(), len(group)]
@@ -298,52 +315,74 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = WORDS,
     component is null and it is kept. Columns beside doc_id and text are not read.
     """
     signed = stage(spark, signatures(docs, words), "signatures")
-    parts = 1 + signed.count() // DOC_ROWS
+    rows, shingles = signed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    parts = 1 + rows // DOC_ROWS
+    set_parts = parts + 8 * shingles // SET_BYTES
     alive = signed.where("n_shingles > 0 and doc_id is not null")
     whole = ["key_a", "key_b", "n_shingles"]
     reps = stage(spark, alive.groupBy(*whole).agg(F.min("doc_id").alias("rep")), "classes", parts)
-    classes = alive.join(reps.select("rep", *whole), [alive["doc_id"] == F.col("rep"), *(alive[c] == reps[c] for c in whole)], "left_semi")
-    classes = stage(spark, classes.select("doc_id", "bands"), "class-bands", parts)
+    behind = alive.select("doc_id", *whole).join(reps, whole).where("doc_id <> rep").select("doc_id").distinct()
+    behind = stage(spark, behind, "copies", parts)
+    classes = stage(spark, without_ids(alive.select("doc_id", "bands"), "doc_id", behind), "class-bands", parts)
+    discard(behind)
 
     stars = stage(spark, local_stars(classes), "stars")
-    least = stars.where("key is not null").groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub <> last")
-    across = stars.where("key is not null").select("key", "doc").join(least.select("key", F.col("hub").alias("a")), "key").select("a", F.col("doc").alias("b"))
-    pairs = stars.where("hub is not null").select(F.col("hub").alias("a"), F.col("doc").alias("b")).unionByName(across).where("a <> b").distinct()
+    # One exchange of the rows by bucket gives each its hub.
+    hub = F.min("doc").over(Window.partitionBy("key"))
+    across = stars.where("key is not null").select(hub.alias("a"), F.col("doc").alias("b"))
+    pairs = stars.where("hub is not null").select(F.col("hub").alias("a"), F.col("doc").alias("b")).unionByName(across.where("a <> b")).distinct()
     pairs = stage(spark, pairs, "pairs", parts)
+    discard(stars)
     nodes = stage(spark, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates", parts)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes, "doc_id", "left_semi")
-    sets = stage(spark, full_sets(texts, words).dropDuplicates(["doc_id"]), "sets", parts)
-    links = stage(spark, confirmed(pairs, sets, percent), "links", parts)
-    labels = stage(spark, components(spark, links), "labels", parts)
+    texts = with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", nodes)
+    sets = stage(spark, full_sets(texts, words), "sets", set_parts)
+    if sets.count() > nodes.count():  # some ids are repeated
+        every, sets = sets, stage(spark, sets.dropDuplicates(["doc_id"]), "sets", set_parts)
+        discard(every)
+    links = stage(spark, confirmed(pairs, sets, percent), "links", set_parts)
+    discard(pairs)
+    labels = components(spark, links)
 
     # Buckets of three and more that hold more than one component: compare the rest.
-    rows = bucket_rows(classes.join(nodes, "doc_id", "left_semi"))
+    rows = bucket_rows(with_ids(classes, "doc_id", nodes))
     named = rows.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
     named = stage(spark, named, "bucket-rows", parts)
+    discard(classes, nodes)
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.min("doc").alias("hub"))
     mixed = mixed.where("low < high and n > 2").select("key", "hub")
     reach = stage(spark, named.join(mixed, "key").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), "open-buckets", parts)
+    discard(named)
     if reach.limit(1).count():
-        family = components(spark, reach).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+        families = components(spark, reach)
+        family = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
         known = labels.select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
         members = family.join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        more = stage(spark, family_links(members.join(sets, "doc_id"), percent), "links", parts)
+        more = stage(spark, family_links(members.join(sets, "doc_id"), percent), "links", set_parts)
         if more.limit(1).count():
-            labels = stage(spark, components(spark, stage(spark, links.unionByName(more), "links", parts)), "labels", parts)
+            both = stage(spark, links.unionByName(more), "links", parts)
+            before, labels = labels, components(spark, both)
+            discard(both, before)
+        discard(more, families)
+    discard(reach, sets, links)
 
     members = signed.join(reps, whole, "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "rep", "doc_id"))
-    members = members.select("doc_id", "n_shingles", component.alias("component_id"))
+    members = stage(spark, members.select("doc_id", "n_shingles", component.alias("component_id")), "near-duplicates", parts)
+    discard(signed, reps, labels)
     return members.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the one with the
-    least doc_id (any one, if that id is repeated). Rows without doc_id stay."""
-    kept = near_duplicates(spark, docs, **options).where("doc_id is not null and kept")
-    ids = kept.groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count(F.lit(1)).alias("_kept_rows"))
-    ids = stage(spark, ids, "kept")
-    joined = docs.join(ids, F.col("doc_id").cast("long") == F.col("_kept_id"))
-    once = joined.where("_kept_rows = 1").select(*docs.columns)
-    again = joined.where("_kept_rows > 1").dropDuplicates(["_kept_id"]).select(*docs.columns)
-    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
+    least doc_id (any one, if that id is repeated). Rows without doc_id stay, and
+    columns of any name pass through. Only rows that may go are exchanged."""
+    found = near_duplicates(spark, docs, **options)
+    parts = 1 + found.count() // DOC_ROWS
+    gone = stage(spark, found.where("not kept").select("doc_id").distinct(), "copies", parts)
+    left = without_ids(docs, "doc_id", gone)
+    again = found.where("doc_id is not null and kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = stage(spark, again, "repeated-ids", parts)
+    discard(found)
+    if again.limit(1).count():
+        left = without_ids(left, "doc_id", again).unionByName(with_ids(left, "doc_id", again).dropDuplicates(["doc_id"]))
+    return left
