@@ -32,14 +32,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan as ts
+from .common import free_name
 
 LENGTH = 50
 GRAM = 20
+#: Text to a bucket of anchors or pieces, in bytes; a bucket is held in one task.
+BUCKET_BYTES = 16 << 20
 #: Text of the pieces that are sorted at a time, in bytes; an anchor is not split.
 SORT_BYTES = 1 << 18
 NONE = 0xFFFFFFFF
@@ -74,12 +77,25 @@ def unpack_all(blobs, kinds: tuple[str, ...]) -> list[np.ndarray]:
     return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, k) for i, k in enumerate(kinds)]
 
 
-_ANCHORS = ("<u8", "<i8", "<u4", "<u1")  # hash, document, run, shared in its batch
+_ANCHORS = ("<u4", "<i8", "<u4", "<u1")  # high half of the hash, document, run, shared in its batch
 _RUNS = ("<i8", "<u4")  # document, run
 _PIECES = ("<u8", "<i8", "<u4", "<u4", "<u1")  # hash, document, place, size, text
 _CUTS = ("<i8", "<u4", "<u4")  # document, first window, windows
 
 
+#: Deals of documents are by a Lehmer step of doc_id, which SQL and numpy can both do.
+_PRIME, _FACTOR = 2147483647, 48271
+
+
+def deal_of(doc: np.ndarray, deals: int) -> np.ndarray:
+    return doc % _PRIME * _FACTOR % _PRIME % deals
+
+
+def _deal_column(doc_id: Column, deals: int) -> Column:
+    step = F.pmod(F.pmod(doc_id.cast("long"), F.lit(_PRIME).cast("long")) * F.lit(_FACTOR), F.lit(_PRIME).cast("long"))
+    return F.pmod(step, F.lit(deals)).cast("int")
+
+
 def _by_group(group: np.ndarray, arrays: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The rows of each group, in their order."""
     order = np.argsort(group, kind="stable")
@@ -162,13 +178,15 @@ def anchor_rows(buckets: int, deals: int):
             several = _several(starts, doc)
             shared = np.repeat(several, np.diff(np.append(starts, len(h))))
             keys, blobs = [], []
-            for deal, (d, r) in _by_group(doc[shared] % deals, [doc[shared], number[shared]]):
+            for deal, (d, r) in _by_group(deal_of(doc[shared], deals), [doc[shared], number[shared]]):
                 keys.append(buckets + deal)
                 blobs.append(pack(d, r))
             send = ~shared
             send[starts] = True
+            send = np.flatnonzero(send)
+            send = send[np.lexsort((number[send], doc[send]))]  # in this order they pack best
             number = np.where(shared, NONE, number).astype("<u4")
-            for bucket, x in _by_group((h[send] % _U(buckets)).astype(np.int64), [h[send], doc[send], number[send], shared[send].astype(np.uint8)]):
+            for bucket, x in _by_group((h[send] % _U(buckets)).astype(np.int64), [(h[send] >> _U(32)).astype("<u4"), doc[send], number[send], shared[send].astype(np.uint8)]):
                 keys.append(bucket)
                 blobs.append(pack(*x))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["key", "blob"])
@@ -178,7 +196,8 @@ def anchor_rows(buckets: int, deals: int):
 
 def shared_runs(buckets: int, deals: int):
     """The anchors of a bucket -> (deal, blob of runs) for hashes that two documents
-    have; deals pass through."""
+    have; deals pass through. Hashes go by their bucket and their high half: the few
+    that agree in both by chance cost a piece sent in vain."""
 
     def run(group: pa.Table) -> pa.Table:
         key = group["key"][0].as_py()
@@ -190,7 +209,7 @@ def shared_runs(buckets: int, deals: int):
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         several = _several(starts, doc) | (np.maximum.reduceat(known, starts) > 0)
         reply = np.repeat(several, np.diff(np.append(starts, len(h)))) & (number != NONE)
-        out = [(d, pack(*x)) for d, x in _by_group(doc[reply] % deals, [doc[reply], number[reply]])]
+        out = [(d, pack(*x)) for d, x in _by_group(deal_of(doc[reply], deals), [doc[reply], number[reply]])]
         return pa.table({"deal": pa.array([d for d, _ in out], pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
 
     return run
@@ -398,7 +417,7 @@ def cut_rows(buckets: int, deals: int):
         if behind[0]:
             cuts.append((np.array(behind[0], "<i8"), np.array(behind[1], "<u4"), np.array(behind[2], "<u4")))
         all_cuts = [np.concatenate(x) for x in zip(*cuts, strict=True)] if cuts else [np.zeros(0, k) for k in _CUTS]
-        out = [(d, pack(*x)) for d, x in _by_group(all_cuts[0] % deals, all_cuts)]
+        out = [(d, pack(*x)) for d, x in _by_group(deal_of(all_cuts[0], deals), all_cuts)]
         return pa.table({"deal": pa.array([d for d, _ in out], pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
 
     return run
@@ -465,29 +484,38 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, digests: bool = Fals
 
     A null text is empty; texts shorter than LENGTH lose nothing. Rows that
     share a doc_id are one document and are cut alike: repeated rows never cut
-    each other. A row without doc_id neither cuts nor is cut. Decisions are
-    made on the input, not on what is left. An empty table gives an empty one.
+    each other. A row without doc_id neither cuts nor is cut, and takes part in no
+    exchange. Decisions are made on the input, not on what is left. A very long
+    text is held whole by one task. An empty table gives an empty one, and columns
+    of any name pass through.
     """
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, deals = partitions, 2 * partitions  # a row of packed arrays for each pair of them at most
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(partitions, -(-total // BUCKET_BYTES))
+    deals = 2 * buckets  # a row of packed arrays for each pair of them at most
     names = ["doc_id", "text"] if digests else docs.columns
     id_type = docs.schema["doc_id"].dataType
-    source = docs.select(F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(deals)), F.lit(0)).cast("int").alias("_deal"), *[F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in names])
+    known, unknown = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    deal = free_name(names, "_deal")
+    source = known.select(_deal_column(F.col("doc_id"), deals).alias(deal), *[F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in names])
     keyed, packed = "key int, blob binary", "deal int, blob binary"
-    anchors = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(anchor_rows(buckets, deals), keyed)
+    anchors = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(anchor_rows(buckets, deals), keyed)
     shared = anchors.groupBy("key").applyInArrow(shared_runs(buckets, deals), packed)
     make = piece_rows(buckets)
-    pieces = source.groupBy("_deal").cogroup(shared.groupBy("deal")).applyInArrow(lambda a, b: make(a, b), keyed)
+    pieces = source.groupBy(deal).cogroup(shared.groupBy("deal")).applyInArrow(lambda a, b: make(a, b), keyed)
     cuts = pieces.groupBy("key").applyInArrow(cut_rows(buckets, deals), packed)
     if digests:
         schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
+        whole = F.coalesce("text", F.lit("")).cast("binary")
+        untouched = unknown.select("doc_id", F.octet_length(whole).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(whole, 256).alias("kept_sha256"))
     else:
         schema = T.StructType([T.StructField(f.name, T.LongType() if f.name == "doc_id" else f.dataType) for f in docs.schema])
+        untouched = unknown
     chars = None
     if not digests and "n_chars" in names:
         from pyspark.sql.pandas.types import to_arrow_type
 
         chars = to_arrow_type(docs.schema["n_chars"].dataType)
     cutter = _cutter(names, digests, "text", chars)
-    out = source.groupBy("_deal").cogroup(cuts.groupBy("deal")).applyInArrow(lambda a, b: cutter(a, b), schema)
-    return out.withColumn("doc_id", F.col("doc_id").cast(id_type))
+    out = source.groupBy(deal).cogroup(cuts.groupBy("deal")).applyInArrow(lambda a, b: cutter(a, b), schema)
+    return out.withColumn("doc_id", F.col("doc_id").cast(id_type)).unionByName(untouched)
