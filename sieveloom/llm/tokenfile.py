@@ -13,6 +13,7 @@ files come whole or not at all, in any store.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -117,6 +118,22 @@ class Block:
                 low = mid + 1
         return low
 
+    def places(self, value: int) -> np.ndarray:
+        """All places of an id, ascending: its range in the last plane, carried up the
+        planes as a whole."""
+        if value >> self.bits:
+            return np.zeros(0, np.int64)
+        low, high = 0, self.n
+        for k in range(self.bits):
+            a, b = self._ones(k, low), self._ones(k, high)
+            low, high = (self.zeros[k] + a, self.zeros[k] + b) if value >> (self.bits - 1 - k) & 1 else (low - a, high - b)
+        at = np.arange(low, high)
+        for k in range(self.bits - 1, -1, -1):
+            ones = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
+            one = value >> (self.bits - 1 - k) & 1
+            at = np.flatnonzero(ones)[at - self.zeros[k]] if one else np.flatnonzero(~ones)[at]
+        return at
+
     def ids(self) -> np.ndarray:
         """All ids, in order."""
         kind = np.uint16 if self.bits <= 16 else np.uint32
@@ -130,9 +147,24 @@ class Block:
         return after
 
 
+def _rules(path: str) -> tuple[bool, bool]:
+    """May a tokenizer be asked word by word, and may PLAIN words be cut by PIECES here?
+    Read from its file: only the normalizer and the splitter for which that is known
+    to be the same are answered yes; for others the library gets whole texts."""
+    with open(path, encoding="utf-8") as file:
+        said = json.load(file)
+    steps = lambda part, name: [part] if part and part.get("type") != "Sequence" else (part or {}).get(name, [])
+    normal = [(x.get("type"), x.get("content")) for x in steps(said.get("normalizer"), "normalizers")]
+    split = [(x.get("type"), (x.get("pattern") or {}).get("Regex"), x.get("behavior"), x.get("use_regex")) for x in steps(said.get("pre_tokenizer"), "pretokenizers")]
+    words = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    known = normal == [("NFC", None), ("Replace", " "), ("Lowercase", None)] and split == [("Split", words, "Removed", None), ("ByteLevel", None, None, False)]
+    plain = known and all(t["content"].startswith("<") for t in said.get("added_tokens", []))
+    return plain, plain and said["model"].get("type") == "BPE" and not said.get("post_processor")
+
+
 class WordEncoder(dict):
-    """The tokenizers library, asked once per word: these tokenizers drop white
-    space and let nothing cross it, so a text's ids are its words' ids in turn.
+    """The tokenizers library, asked once per word: the tokenizers that ``_rules``
+    knows drop white space and let nothing cross it, so a text's ids are its words' ids in turn.
     Words are cut at spaces and line feeds only, which is finer than no cut and
     never inside anything the tokenizer sees as one.
 
@@ -148,6 +180,7 @@ class WordEncoder(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
+        self.by_word, self.by_piece = _rules(path)
         self.pieces: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -165,7 +198,7 @@ class WordEncoder(dict):
     def _ids(self, word: str) -> bytes:
         """Ids of one word. A plain word is cut into the tokenizer's pieces here and the
         library's model encodes each piece once; any other goes to the library whole."""
-        if not PLAIN(word):
+        if not self.by_piece or not PLAIN(word):
             return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         out = []
         for piece in PIECES(word.lower()):
@@ -182,6 +215,8 @@ class WordEncoder(dict):
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.by_word:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         known = self.__getitem__
         return [b"".join(map(known, t.replace("\n", " ").split(" "))) for t in texts]
 
@@ -299,10 +334,12 @@ def find_occurrences(spark: SparkSession, folder: str, token: int, *, most_per_b
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 b = block_of(row)
-                n = b.count(token)
-                places = [b.select(token, k) for k in range(n if most_per_block is None else min(n, most_per_block))]
-                if places:
-                    yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * len(places), pa.int32()), pa.array([row["seq"]] * len(places), pa.int32()), pa.array(places, pa.int64())], names=["part", "seq", "at"])
+                n = b.count(token) if token >= 0 else 0
+                if n:
+                    few = most_per_block is not None and most_per_block < min(n, 16)
+                    places = np.array([b.select(token, k) for k in range(most_per_block)], np.int64) if few else b.places(token)[:most_per_block]
+                    m = len(places)
+                    yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * m, pa.int32()), pa.array([row["seq"]] * m, pa.int32()), pa.array(places, pa.int64())], names=["part", "seq", "at"])
 
     blocks = read_blocks(spark, folder)
     found = blocks.mapInArrow(run, "part int, seq int, at long")
