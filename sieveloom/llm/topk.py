@@ -22,12 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 2048
-CANDIDATE_BLOCK = 8192
+QUERY_BLOCK = 8192
+CANDIDATE_BLOCK = 16384
 TILE = 512
 LEVELS = (4, 16)
-#: Products of integers below this are exact in doubles for 2**12 components.
+#: Products of integers below this are exact in doubles for 2**12 components; larger
+#: ones are multiplied as 64-bit integers.
 EXACT = 1 << 20
+#: Components are clipped here, so that all finite ones have an integer.
+LARGEST = 1 << 62
+NO_SCORE = np.iinfo(np.int64).min
 
 
 def quantised(frame: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -49,8 +53,7 @@ def quantised(frame: DataFrame, scale: int, id_col: str, vector_col: str) -> Dat
             good = bad[offsets[1:]] == bad[offsets[:-1]]
             with np.errstate(invalid="ignore", over="ignore"):
                 whole = np.floor(x * scale)
-            whole[~np.isfinite(whole)] = 0
-            whole = whole.astype("<i8")
+            whole = np.clip(np.nan_to_num(whole, nan=0.0, posinf=LARGEST, neginf=-LARGEST), -LARGEST, LARGEST).astype("<i8")
             rows = np.flatnonzero(good)
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), pa.array([whole[offsets[i] : offsets[i + 1]].tobytes() for i in rows], pa.binary())], names=["id", "v"])
 
@@ -85,19 +88,21 @@ def search_block(query_ids, queries, ids, candidates, k: int) -> tuple[np.ndarra
     width = max(queries.shape[1], candidates.shape[1])
     q = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
     c = np.pad(candidates, ((0, 0), (0, width - candidates.shape[1])))
-    if max(np.abs(q).max(initial=0), np.abs(c).max(initial=0)) >= EXACT or width > 4096:
-        return _search_large(query_ids, q, ids, c, k)
     qf, cf = q.astype(np.float64), c.astype(np.float64)
+    small = max(np.abs(qf).max(initial=0), np.abs(cf).max(initial=0)) < EXACT and width <= 4096
+    left, right = (qf, cf) if small else (q, c)  # bounds are doubles either way, products exact
     levels = [(_statistics(qf, s), _statistics(cf, s)) for s in LEVELS if s < width]
     # Candidates with large norms come first, so that the k-th best rises early.
     order = np.lexsort((ids, -(cf * cf).sum(1)))
     slack = 1e-9 * np.sqrt((qf * qf).sum(1).max(initial=0) * (cf * cf).sum(1).max(initial=0)) + 1e-6
     n = len(q)
-    best_score = np.full((n, 0), -np.inf)
+    best_score = np.zeros((n, 0), np.int64)
     best_id = np.zeros((n, 0), np.int64)
     for at in range(0, len(c), TILE):
         tile = order[at : at + TILE]
-        floor = best_score[:, -1] if best_score.shape[1] == k else np.full(n, -np.inf)
+        floor = np.full(n, -np.inf)
+        if best_score.shape[1] == k:
+            floor = np.where(best_score[:, -1] == NO_SCORE, floor, best_score[:, -1].astype(np.float64))
         alive = np.ones((n, len(tile)), bool)
         for own, other in levels:
             if alive.mean() > 0.05:
@@ -106,12 +111,12 @@ def search_block(query_ids, queries, ids, candidates, k: int) -> tuple[np.ndarra
                 i, j = np.nonzero(alive)
                 alive[i, j] = np.einsum("ij,ij->i", own[i], other[tile[j]]) + slack >= floor[i]
         alive &= query_ids[:, None] != ids[tile][None, :]
-        scores = np.full((n, len(tile)), -np.inf)
+        scores = np.full((n, len(tile)), NO_SCORE)
         if alive.mean() > 0.05:
-            np.copyto(scores, qf @ cf[tile].T, where=alive)
+            np.copyto(scores, (left @ right[tile].T).astype(np.int64), where=alive)
         else:
             i, j = np.nonzero(alive)
-            scores[i, j] = np.einsum("ij,ij->i", qf[i], cf[tile[j]])
+            scores[i, j] = np.einsum("ij,ij->i", left[i], right[tile[j]]).astype(np.int64)
         rows = np.flatnonzero(alive.any(1))
         if not len(rows) and best_score.shape[1] == k:
             continue
@@ -119,27 +124,14 @@ def search_block(query_ids, queries, ids, candidates, k: int) -> tuple[np.ndarra
             rows = np.arange(n)
         all_scores = np.concatenate([best_score[rows], scores[rows]], 1)
         all_ids = np.concatenate([best_id[rows], np.broadcast_to(ids[tile], (len(rows), len(tile)))], 1)
-        pick = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+        pick = np.lexsort((all_ids, ~all_scores), axis=1)[:, :k]  # ~x falls as x rises, without overflow
         top_scores, top_ids = np.take_along_axis(all_scores, pick, 1), np.take_along_axis(all_ids, pick, 1)
         if best_score.shape[1] < top_scores.shape[1]:
             best_score, best_id = top_scores, top_ids
         else:
             best_score[rows], best_id[rows] = top_scores, top_ids
-    i, j = np.nonzero(np.isfinite(best_score))
-    return i, best_id[i, j], best_score[i, j].astype(np.int64)
-
-
-def _search_large(query_ids, q, ids, c, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same in 64-bit integers, for components beyond what doubles hold."""
-    rows, found, scores = [], [], []
-    for i in range(len(q)):
-        s = c @ q[i]
-        own = ids != query_ids[i]
-        pick = np.flatnonzero(own)[np.lexsort((ids[own], -s[own]))[:k]]
-        rows += [i] * len(pick)
-        found += ids[pick].tolist()
-        scores += s[pick].tolist()
-    return np.array(rows, np.int64), np.array(found, np.int64), np.array(scores, np.int64)
+    i, j = np.nonzero(best_score != NO_SCORE)
+    return i, best_id[i, j], best_score[i, j]
 
 
 def top_k(spark: SparkSession, frame: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -150,8 +142,9 @@ def top_k(spark: SparkSession, frame: DataFrame, *, k: int = 5, every: int = 50,
     results. Rows with a null id or vector, or with a component that is null or
     not finite, take no part. A shorter vector counts as ending in zeros. Rows
     that share an id are each other's own and never meet; a repeated candidate
-    counts as often as it stands, a repeated query once. Scores beyond 64 bits
-    are not defined.
+    counts as often as it stands, a repeated query once. Components are clipped at
+    2**62; scores beyond 64 bits are not defined. An empty table gives no rows,
+    and columns beside the two named are not read.
     """
     from .common import stage
 
