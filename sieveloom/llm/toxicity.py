@@ -150,9 +150,12 @@ def fit(texts: list[tuple[bytes, int, int]], share: float | None = None) -> Mode
     train, held = _distinct([t for t in texts if t[2] % 3]), [t for t in texts if t[2] % 3 == 0]
     toxic, ordinary = ([b for b, y, _ in train if y == c] for c in (1, 0))
     known = [y for _, y, _ in held]
-    telling = _contrast(toxic, ordinary) if toxic and ordinary else []
-    if not telling or not 0 < sum(known) < len(known):
+    if not 0 < sum(known) < len(known):  # too few to hold any out
+        held = texts
+        known = [y for _, y, _ in held]
+    if not toxic or not ordinary:  # one class alone: nothing tells them apart
         return Model(b"", b"", (), float(np.mean([y for _, y, _ in texts])) if texts else 0.0)
+    telling = _contrast(toxic, ordinary) or [b[i : i + 16] for b in toxic for i in range(0, len(b), 16)]
     ordinary_dict = _train(ORDINARY_BYTES, [b[i : i + 256] for b in ordinary for i in range(0, len(b), 256)])
     toxic_dict = _train(TOXIC_BYTES, [b" ".join(telling[i : i + 16]) for i in range(0, len(telling), 16)])
     gains = _gains(ordinary_dict, toxic_dict)
@@ -170,21 +173,29 @@ def held_out(doc_id: Column) -> Column:
 
 def fit_tables(docs: DataFrame, labels: DataFrame, *, per_class: int = SAMPLE_PER_CLASS, text_bytes: int = SAMPLE_TEXT_BYTES) -> Model:
     """Fit on labelled rows outside the held-out fifth: of each class ``per_class``
-    rows by hash of doc_id, and of these texts of at most ``text_bytes``."""
+    rows by hash of doc_id, and of these texts of at most ``text_bytes``.
+
+    Repeated labels count once, and a document labelled both 0 and 1 not at all; of
+    rows that share a doc_id, the least text is used. Labels other than 0 and 1
+    and null ids are ignored. Empty tables, or one class alone, give a constant
+    score (0, or that class). Ids may be of any type."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
-    known = known.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    known = known.groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").cast("int").alias("most")).where("toxic = most").drop("most")
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
-    sample = F.broadcast(picked[0].unionByName(picked[1]).dropDuplicates(["doc_id"]))  # at most 2 * per_class rows
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= text_bytes).join(sample, "doc_id").collect()
-    texts = [(r["text"].encode(), r["toxic"], zlib.crc32(b"fit%d" % r["doc_id"])) for r in rows]
+    sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * per_class rows
+    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= text_bytes).join(sample, "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
+    texts = [(r["text"].encode(), r["toxic"], zlib.crc32(f"fit{r['doc_id']}".encode())) for r in rows]
     return fit(sorted(texts, key=lambda t: (t[2], t[0])), counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 from 0.5 on) for every
     whole text. A null or empty text has one empty window and is scored like any
-    other. Rows are scored by their text alone; other columns are not read."""
+    other; a very long one is scored window by window, whole. Rows are scored by
+    their text alone, so repeated rows and ties agree; other columns are not read.
+    An empty table gives no rows."""
     chosen = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     schema = T.StructType([docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
