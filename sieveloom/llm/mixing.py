@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stage
+from .common import free_name, n_words, stage
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -108,6 +108,8 @@ def draw_slots(spark: SparkSession, targets: DataFrame, *, block: int = BLOCK_WO
     closing = lacking.withColumn("shard", F.lit(-(-total // shard_slots)).cast("long"))
     columns = ["shard", "source_index", "first", "n", "n_blocks", "n_full", "source_size", "budget"]
     each = kept.select(*columns).unionByName(closing.select(*columns))
+    # The table of draws is tiny and its rows are thousands of slots each: deal them out first.
+    each = each.repartition(max(1, min(int(total // shard_slots) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))), "shard", "source_index")
     each = each.withColumn("draw", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
     each = each.withColumn("sweep", F.expr("draw div n_blocks")).withColumn("position", F.expr("draw % n_blocks"))
     key = F.xxhash64(F.lit(seed), "source_index", "sweep")
@@ -172,23 +174,24 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFram
     """``docs`` as often as the mix takes them, with their columns: a document comes
     once for each pass over its source that draws words of it, whole or with the
     words of the blocks drawn, in their order (n_chars follows the text).
-    Documents without words have nothing to take and go. Our own columns are
-    named ``_mix_*``."""
-    marked = docs.withColumn("_mix_row", F.monotonically_increasing_id()).withColumn("_mix_key", F.xxhash64("doc_id", "text"))
+    Documents without words have nothing to take and go. Columns of any name
+    pass through; an empty table gives an empty one."""
+    row, key, taken, whole_name, parts = (free_name(docs.columns, c) for c in ("_mix_row", "_mix_key", "_mix_taken", "_mix_whole", "_mix_parts"))
+    marked = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(key, F.xxhash64("doc_id", "text"))
     table = stage(spark, marked, "mix-docs")
-    sizes = stage(spark, table.select("_mix_row", "_mix_key", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
+    sizes = stage(spark, table.select(row, key, "source", n_words(F.col("text")).alias("size")), "mix-sizes")
     # Rows stand by content, so reruns agree; equal rows may trade places.
-    rows, spans = mix_spans(spark, sizes, key="_mix_key", **options)
+    rows, spans = mix_spans(spark, sizes, key=key, **options)
     # A pass reads each block once, so its stretches of a document do not overlap.
     stretch = F.struct((F.col("first") - F.col("offset")).cast("int").alias("start"), (F.col("last") - F.col("first")).cast("int").alias("n"))
-    drawn = spans.groupBy("source_index", "offset", "sweep").agg(F.sum(F.col("last") - F.col("first")).alias("_mix_taken"), F.sort_array(F.collect_list(stretch)).alias("_mix_parts"))
-    plan = rows.where("size > 0").join(drawn, ["source_index", "offset"]).select("_mix_row", (F.col("_mix_taken") == F.col("size")).alias("_mix_whole"), "_mix_parts")
-    copies = table.drop("_mix_key").join(plan, "_mix_row")
-    whole = F.col("_mix_whole")
+    drawn = spans.groupBy("source_index", "offset", "sweep").agg(F.sum(F.col("last") - F.col("first")).alias(taken), F.sort_array(F.collect_list(stretch)).alias(parts))
+    plan = rows.where("size > 0").join(drawn, ["source_index", "offset"]).select(row, (F.col(taken) == F.col("size")).alias(whole_name), parts)
+    copies = table.drop(key).join(plan, row)
+    whole = F.col(whole_name)
     words = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     # An array of one binds the words to a name: a text is split once, not once a stretch.
-    cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_mix_parts", lambda p: F.slice(w, p["start"] + 1, p["n"]))), ""))[0]
-    cut = F.when(F.col("_mix_parts")[0]["start"] > 0, F.regexp_replace(cut, r"^[\x20\x09-\x0D]+", "")).otherwise(cut)
+    cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(parts, lambda p: F.slice(w, p["start"] + 1, p["n"]))), ""))[0]
+    cut = F.when(F.col(parts)[0]["start"] > 0, F.regexp_replace(cut, r"^[\x20\x09-\x0D]+", "")).otherwise(cut)
     copies = copies.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
