@@ -42,7 +42,7 @@ from .common import free_name
 LENGTH = 50
 GRAM = 20
 #: Text to a bucket of anchors or pieces, in bytes; a bucket is held in one task.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Text of the pieces that are sorted at a time, in bytes; an anchor is not split.
 SORT_BYTES = 1 << 18
 NONE = 0xFFFFFFFF
