@@ -32,6 +32,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import free_name
+
 #: The splitting pattern of the byte-level vocabulary, and the code
 #: points of its white space.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -227,7 +229,8 @@ def token_digests(docs: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_i
     """
     from pyspark.sql import types as T
 
-    chosen = docs.select(*keep, docs["text"].alias("_text"))
+    whole = free_name(keep, "_text")
+    chosen = docs.select(*keep, docs["text"].alias(whole))
     fields = [docs.schema[k] for k in keep]
     out = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
@@ -235,7 +238,7 @@ def token_digests(docs: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_i
         vocab = vocabulary(path)
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
-            for t in batch.column("_text"):
+            for t in batch.column(whole):
                 raw = vocab.encode(t.as_py() or "")
                 counts.append(len(raw) // 4)
                 ids_sha.append(hashlib.sha256(raw).hexdigest())

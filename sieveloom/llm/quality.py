@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import textscan as ts
+from .common import free_name
 
 BASE_WORDS = 50
 BASE_REPEAT_PERCENT = 50
@@ -132,12 +133,13 @@ def quality(docs: DataFrame, *, keep: tuple[str, ...] | None = ("doc_id",), text
     """
     results = [*MEASURES, "base_failed", "kept"]
     names = [c for c in (docs.columns if keep is None else keep) if c not in results]
-    chosen = docs.select(*names, docs[text].alias("_quality_text"))
+    whole = free_name(names, "_quality_text")
+    chosen = docs.select(*names, docs[text].alias(whole))
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(c, T.LongType()) for c in MEASURES] + [T.StructField(c, T.BooleanType()) for c in results[-2:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = ts.text_buffer(batch.column("_quality_text"))
+            data, offsets = ts.text_buffer(batch.column(whole))
             for i, j, part, ends in ts.chunks(data, offsets):
                 m = measure(part, ends)
                 failed, kept = verdicts(m)
