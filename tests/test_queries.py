@@ -2,7 +2,7 @@
 
 import pytest
 
-from sieveloom.plans import analytics, captions, images  # noqa: F401
+from sieveloom.plans import analytics, captions, curation, images  # noqa: F401
 from sieveloom.plans.registry import ORACLES, QUERIES
 
 
