@@ -146,7 +146,9 @@ def mix_spans(spark: SparkSession, sizes: DataFrame, *, key: str, block: int = B
     rows = stage(spark, rows, "mix-rows", 1 + sizes.count() // ROWS_PER_FILE)
     pieces = rows.where("size > 0").select("source_index", "offset", "size", F.explode(F.sequence(F.expr(f"offset div {block}"), F.expr(f"(offset + size - 1) div {block}"))).alias("block"))
     start = F.col("block") * block
-    spans = slots.join(pieces, ["source_index", "block"]).select(
+    # Slots are many times the rows that they are expanded from, which is what a planner
+    # sees: never let them be broadcast on that account.
+    spans = slots.hint("merge").join(pieces, ["source_index", "block"]).select(
         "shard", "source_index", "draw", "sweep", "offset",
         F.greatest(start, "offset").alias("first"), F.least(start + F.col("take"), F.col("offset") + F.col("size")).alias("last"),
     )
