@@ -797,6 +797,8 @@ def progress_stream(spark, sf_dir):
 
     source = spark.readStream.schema(d.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     place = f"{named.rstrip('/')}/stream" if named else tempfile.mkdtemp(prefix="stream-")
 
     def merge(batch, number):

@@ -360,8 +360,8 @@ def log_window(spark, sf_dir):
 
 
 @query("l06_tier_agreement", "WITH " + d.KNOWLEDGE + """
-, s AS (SELECT tag, 0.3 + posts / 100.0 AS threshold, 0.5 AS best, CASE WHEN posts >= 50 THEN 'head' WHEN posts >= 49 THEN 'mid' ELSE 'tail' END AS tier FROM knowledge)
-SELECT tier, count(*) AS n, count(*) FILTER (WHERE abs(threshold - best) <= 0.05) AS agree FROM s GROUP BY tier""")
+, s AS (SELECT tag, (30 + posts) / 100.0::DOUBLE AS threshold, 0.5::DOUBLE AS best, CASE WHEN posts >= 50 THEN 'head' WHEN posts >= 49 THEN 'mid' ELSE 'tail' END AS tier FROM knowledge)
+SELECT tier, count(*) AS n, count(*) FILTER (WHERE abs(threshold - best) <= 0.05::DOUBLE) AS agree FROM s GROUP BY tier""")
 def tier_agreement(spark, sf_dir):
     k = d.knowledge(spark, sf_dir)
     scores = k.select("tag", (F.lit(30) + F.col("posts")).alias("threshold"), F.lit(50).alias("best")).select("tag", (F.col("threshold") / 100).alias("threshold"), (F.col("best") / 100).alias("best"))
