@@ -12,9 +12,9 @@ with the bucket's, so candidate pairs number at most one per class and band and
 no bucket is gathered in one task. A pair becomes a link after a comparison of
 the full sets. Where a bucket's members are not in one component by then, a hub
 may have stood between two that are alike; documents joined by such buckets form
-families, and a family is compared as a whole: block by block, all shared
-shingles of two blocks of documents are counted by one matrix product, and only
-links across components come out. No pair of a shared bucket is left out, and no
+families, and a family is compared by classes of like set size: block by block,
+all shared shingles of two blocks of documents are counted by one matrix product,
+and only links across components come out. No pair of a shared bucket is left out, and no
 pairs of a group are ever rows. Components come from alternating stars.
 """
 
@@ -312,7 +312,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = WORDS,
     own. A null or empty text, or one without words, has an empty set and no
     links. Rows with equal sets are linked, repeated rows among them; rows that
     share a doc_id count as one document. A null doc_id takes no part: its
-    component is null and it is kept. Columns beside doc_id and text are not read.
+    component is null and it is kept. A very long text is one set, whole. An empty
+    table gives no rows. Columns beside doc_id and text are not read.
     """
     signed = stage(spark, signatures(docs, words), "signatures")
     rows, shingles = signed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()

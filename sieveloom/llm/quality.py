@@ -129,7 +129,8 @@ def quality(docs: DataFrame, *, keep: tuple[str, ...] | None = ("doc_id",), text
     Returns the ``keep`` columns (all, with text, if None), MEASURES (long),
     base_failed and kept. A null or empty text has no words, so it fails the
     base rule. A text is measured in one go however long it is. Each row is
-    judged by itself; an input column named like a result gives way to it.
+    judged by itself, so repeated rows agree; an empty table gives no rows; an
+    input column named like a result gives way to it.
     """
     results = [*MEASURES, "base_failed", "kept"]
     names = [c for c in (docs.columns if keep is None else keep) if c not in results]

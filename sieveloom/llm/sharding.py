@@ -77,7 +77,8 @@ def shard_rows(spark: SparkSession, docs: DataFrame, shards: int = 24, *, vnodes
     Returns doc_id, size (UTF-8 bytes of the text, none for a null, plus 8),
     text_crc32 (unsigned; a null as the empty text), law, shard, slot (gapless
     from 0 in each shard) and grown_shard (null under this law). Repeated rows
-    are rows of their own; ties in the order of an arc go by size and crc32.
+    are rows of their own; ties in the order of an arc go by size and crc32. An
+    empty table gives no rows, and further columns are not read.
     """
     cell_of = F.pmod(F.xxhash64("doc_id"), F.lit(cells))
     cells_table = F.broadcast(stage(spark, ring(spark, shards, vnodes, cells), "cells"))  # ``cells`` rows, whatever the input

@@ -232,7 +232,8 @@ def word_encoder(path: str) -> WordEncoder:
 def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: str, *, partitions: int | None = None) -> None:
     """Encode ``docs`` (doc_id, text; a null text is empty, a null doc_id stands
     first) with an end id after each document and write the blocks to ``folder``.
-    Equal doc_ids stand by the hash of their text. Other columns are not read."""
+    Equal doc_ids stand by the hash of their text. A very long text is one document
+    of one block; an empty table writes no blocks. Other columns are not read."""
     from pyspark import TaskContext
 
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
