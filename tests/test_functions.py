@@ -14,7 +14,7 @@ from sieveloom.functions import lines as ln
 from sieveloom.functions import tags as t
 from sieveloom.operators import geometry as geo
 from sieveloom.operators import metrics, rules, state, vectors
-from sieveloom.plans import domain
+from sieveloom.plans import analytics, captions, curation, domain, images  # noqa: F401  (they register their queries)
 from sieveloom.sources import files
 
 
