@@ -349,17 +349,11 @@ def keep_boxes(spark, sf_dir):
     return rows.where("k").select("image", "box")
 
 
-@query("f42_token_confidence", "SELECT vec_id, round((embedding[1] + embedding[2] + embedding[3]) / 3, 6) AS confidence FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(abs(x) AS DOUBLE)) AS embedding FROM embeddings)")
+@query("f42_token_confidence", "SELECT vec_id, round(list_avg(p[1:n]), 6) AS confidence FROM (SELECT vec_id, least((66 - vec_id % 64) % 64, (67 - vec_id % 64) % 64) AS n, list_transform(embedding, lambda x: CAST(abs(x) AS DOUBLE)) AS p FROM embeddings)")
 def token_confidence(spark, sf_dir):
+    """Token ids count up from vec_id modulo 64, so the stops stand anywhere in a vector."""
     e = d.table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), F.abs).alias("p"))
-    return e.select("vec_id", F.round(ln.token_confidence(F.col("p"), F.array(*map(F.lit, (7, 8, 9, 2, 5))), (2, 3)), 6).alias("confidence"))
-
-
-@query("t01_t03_line_dedupe", """
-SELECT page, seq, kind FROM (SELECT conv_id AS page, turn AS seq, role AS kind, row_number() OVER (PARTITION BY conv_id, role, trim(left(text, 2)) ORDER BY turn) AS r FROM conversations) WHERE r = 1""")
-def line_dedupe(spark, sf_dir):
-    rows = _lines(spark, sf_dir)
-    return joins.deduped_lines(rows, F.concat_ws("|", "kind", F.btrim(F.substr("text", F.lit(1), F.lit(2))))).select("page", "seq", "kind")
+    return e.select("vec_id", F.round(ln.token_confidence(F.col("p"), F.transform("p", lambda x, i: ((F.col("vec_id") + i) % 64).cast("int")), (2, 3)), 6).alias("confidence"))
 
 
 #: What Python's strip() takes off.
@@ -774,13 +768,6 @@ def publish_revert(spark, sf_dir):
     return state.publish_revert(_publish(spark, sf_dir))
 
 
-@query("h15_b03_overwrite_by_key", "SELECT DISTINCT conv_id AS page, turn AS seq, CASE WHEN conv_id % 2 = 0 THEN reverse(left(text, 3)) ELSE left(text, 3) END AS text FROM conversations WHERE NOT (conv_id % 2 = 0 AND role = 'system')")
-def overwrite_by_key(spark, sf_dir):
-    old = _lines(spark, sf_dir).select("page", "seq", F.substr("text", F.lit(1), F.lit(3)).alias("text"), "kind")
-    new = old.where("page % 2 = 0").select("page", "seq", F.when(F.col("kind") == "system", "").otherwise(F.reverse("text")).alias("text"))
-    return state.overwrite_by_key(old.drop("kind"), new, ["page"], F.col("text") == "").distinct()
-
-
 @query("h15_b03_overwrite_whole_text", "SELECT DISTINCT conv_id AS page, turn AS seq, CASE WHEN conv_id % 2 = 0 THEN text || '|' || role ELSE text END AS text FROM conversations WHERE NOT (conv_id % 2 = 0 AND role = 'system')")
 def overwrite_whole_text(spark, sf_dir):
     """Whole lines; the new text of a line ends in its role."""

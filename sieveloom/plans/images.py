@@ -11,9 +11,7 @@ from ..operators import geometry, masks
 from . import domain as d
 from .registry import QUERIES, query
 
-CROPS = "crops AS (SELECT image, CAST(box AS INTEGER) AS crop, 't' || CAST(CAST(y0 AS INTEGER) % 5 AS VARCHAR) AS tag, score FROM boxes WHERE box <= 3)"
-
-ALL_CROPS = CROPS.removesuffix(" WHERE box <= 3)") + ")"
+CROPS = "crops AS (SELECT image, CAST(box AS INTEGER) AS crop, 't' || CAST(CAST(y0 AS INTEGER) % 5 AS VARCHAR) AS tag, score FROM boxes)"
 
 
 def _crops(spark, sf_dir):
@@ -44,31 +42,19 @@ def clause_tags(spark, sf_dir):
     return cl.clause_tags(best, bags, _policy())
 
 
-@query("r09_bag_removals", "WITH " + d.BOXES + ",\n" + CROPS + """,
+@query("r09_bag_removals_all", "WITH " + d.BOXES + ",\n" + CROPS + """,
 s AS (SELECT image, crop, tag, max(score) AS score FROM crops GROUP BY ALL),
 c AS (SELECT image, tag, crop, score, count(*) OVER (PARTITION BY image, tag) AS n FROM s WHERE tag IN ('t1', 't2', 't3'))
 SELECT image, tag, crop, CASE WHEN n > 1 THEN 'multi-clause' WHEN tag = 't3' THEN 'character-name' WHEN tag = 't1' AND image % 2 = 0 THEN 'two-tone-marker' ELSE 'moved' END AS verdict FROM c""")
-def bag_removals(spark, sf_dir):
-    return _removals(_crops(spark, sf_dir).where("crop <= 3"))
-
-
-def _removals(crops):
-    scores = crops.groupBy("image", "crop", "tag").agg(F.max("score").alias("score"))
+def bag_removals_all(spark, sf_dir):
+    """Removals judged by every crop of an image."""
+    scores = _crops(spark, sf_dir).groupBy("image", "crop", "tag").agg(F.max("score").alias("score"))
     held = scores.where("tag in ('t1', 't2', 't3')").select("image", "crop", "tag")
     images = scores.select("image").distinct()
     bag = images.withColumn("tag", F.explode(F.array(*map(F.lit, ("t1", "t2", "t3"))))).select("image", "tag", F.when(F.col("tag") != "t3", "g").alias("grp"), (F.col("tag") == "t3").alias("is_name"), (F.col("image") % 2 == 0).alias("pinned"))
     return cl.bag_removals(held, scores, bag, 0.25, F.col("tag") == "t1")
 
 
-@query("r09_bag_removals_all", "WITH " + d.BOXES + ",\n" + ALL_CROPS + """,
-s AS (SELECT image, crop, tag, max(score) AS score FROM crops GROUP BY ALL),
-c AS (SELECT image, tag, crop, score, count(*) OVER (PARTITION BY image, tag) AS n FROM s WHERE tag IN ('t1', 't2', 't3'))
-SELECT image, tag, crop, CASE WHEN n > 1 THEN 'multi-clause' WHEN tag = 't3' THEN 'character-name' WHEN tag = 't1' AND image % 2 = 0 THEN 'two-tone-marker' ELSE 'moved' END AS verdict FROM c""")
-def bag_removals_all(spark, sf_dir):
-    """Removals judged by every crop of an image."""
-    return _removals(_crops(spark, sf_dir))
-
-
 @query("t09_clause_drift", "WITH " + d.BAGS + """
 SELECT key, len(list_filter(tags[2:5], lambda x: NOT list_contains(tags[1:4], x))) AS novel, len(list_filter(tags[2:5], lambda x: list_contains(tags[1:3], x))) AS doubled FROM bags""")
 def clause_drift(spark, sf_dir):
@@ -125,9 +111,7 @@ def solo_indices(spark, sf_dir):
     return names.where(single | t.is_count_tag(F.col("tag"))).select("tag", "index", single.alias("single"))
 
 
-MASKS = """m AS (SELECT image, box, greatest(0, least(16, CAST(floor(x0 / 40) AS INTEGER))) AS a, greatest(0, least(16, CAST(floor(x1 / 40) AS INTEGER))) AS b FROM boxes WHERE box <= 3)"""
-
-ALL_MASKS = MASKS.removesuffix(" WHERE box <= 3)") + ")"
+MASKS = """m AS (SELECT image, box, greatest(0, least(16, CAST(floor(x0 / 40) AS INTEGER))) AS a, greatest(0, least(16, CAST(floor(x1 / 40) AS INTEGER))) AS b FROM boxes)"""
 
 
 def _masks(spark, sf_dir):
@@ -136,36 +120,17 @@ def _masks(spark, sf_dir):
     return rows.select(F.col("image").cast("string").alias("name"), F.col("box").alias("place"), F.lit(1).alias("height"), F.lit(16).alias("width"), masks.ignore_mask(masks.mask_bits(F.col("a"), F.col("b"), 16)).alias("alpha"))
 
 
-@query("t08_j16_b12_merge_masks", "WITH " + d.BOXES + ",\n" + MASKS + """
-SELECT CAST(image AS VARCHAR) AS name, count(*) FILTER (WHERE NOT hit) AS kept FROM (SELECT image, p, bool_or(p >= a AND p < b) AS hit FROM m, unnest(range(16)) AS u(p) GROUP BY image, p) GROUP BY image""")
-def merge_masks(spark, sf_dir):
-    return _unmasked(_masks(spark, sf_dir).where("place <= 3"))
-
-
-def _unmasked(rows):
-    merged = masks.merge_masks(rows)
-    return merged.select("name", F.regexp_count(F.hex("alpha"), F.lit("FF")).cast("long").alias("kept"))
-
-
-@query("k24_mask_coverage", "WITH " + d.BOXES + ",\n" + MASKS + " SELECT CAST(image AS VARCHAR) AS name, CAST(box AS INTEGER) AS place, round(100.0 * (16 - greatest(0, b - a)) / 16, 6) AS percent FROM m")
-def mask_coverage(spark, sf_dir):
-    return _covered(_masks(spark, sf_dir).where("place <= 3"))
-
-
-def _covered(rows):
-    return rows.select("name", "place", F.round(masks.coverage_percent("alpha"), 6).alias("percent"))
-
-
-@query("t08_j16_b12_merge_masks_all", "WITH " + d.BOXES + ",\n" + ALL_MASKS + """
+@query("t08_j16_b12_merge_masks_all", "WITH " + d.BOXES + ",\n" + MASKS + """
 SELECT CAST(image AS VARCHAR) AS name, count(*) FILTER (WHERE NOT hit) AS kept FROM (SELECT image, p, bool_or(p >= a AND p < b) AS hit FROM m, unnest(range(16)) AS u(p) GROUP BY image, p) GROUP BY image""")
 def merge_masks_all(spark, sf_dir):
     """Masks of every box of an image merged."""
-    return _unmasked(_masks(spark, sf_dir))
+    merged = masks.merge_masks(_masks(spark, sf_dir))
+    return merged.select("name", F.regexp_count(F.hex("alpha"), F.lit("FF")).cast("long").alias("kept"))
 
 
-@query("k24_mask_coverage_all", "WITH " + d.BOXES + ",\n" + ALL_MASKS + " SELECT CAST(image AS VARCHAR) AS name, CAST(box AS INTEGER) AS place, round(100.0 * (16 - greatest(0, b - a)) / 16, 6) AS percent FROM m")
+@query("k24_mask_coverage_all", "WITH " + d.BOXES + ",\n" + MASKS + " SELECT CAST(image AS VARCHAR) AS name, CAST(box AS INTEGER) AS place, round(100.0 * (16 - greatest(0, b - a)) / 16, 6) AS percent FROM m")
 def mask_coverage_all(spark, sf_dir):
-    return _covered(_masks(spark, sf_dir))
+    return _masks(spark, sf_dir).select("name", "place", F.round(masks.coverage_percent("alpha"), 6).alias("percent"))
 
 
 @query("b13_label_maps")
