@@ -22,6 +22,12 @@ What a map task can settle by itself it settles before the shuffle: of equal
 runs or pieces in one batch, one is sent for all, so a passage that a third of
 all documents share reaches its bucket at most once per batch. Exchanges carry
 packed arrays; both passes over the text share one exchange of it.
+
+A hash with more than HOT_RUNS runs (a phrase in ever different surroundings) is
+not left to one bucket: its windows are dealt out again, by the longer string of
+SPLIT bytes about the phrase that windows with it at like offsets have in common.
+Hot hashes are counted whole and marked in a bitmap of fixed size; a hash that is
+marked by chance is only dealt out finer than it need be.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan as ts
-from .common import free_name
+from .common import free_name, stage
 
 LENGTH = 50
 GRAM = 20
@@ -45,6 +51,13 @@ GRAM = 20
 BUCKET_BYTES = 8 << 20
 #: Text of the pieces that are sorted at a time, in bytes; an anchor is not split.
 SORT_BYTES = 1 << 18
+#: Runs of a hash, about 64 bytes each, beyond which it is dealt out finer.
+HOT_RUNS = (1 << 20) // 64
+#: Offsets of the hash in a window that go together when it is dealt out finer.
+STEP = 8
+SPLIT = LENGTH - STEP + 1
+#: Bits of the bitmap of hot hashes: 4 MB, whatever their number.
+HOT_BITS = 1 << 25
 NONE = 0xFFFFFFFF
 _U = np.uint64
 
@@ -77,7 +90,7 @@ def unpack_all(blobs, kinds: tuple[str, ...]) -> list[np.ndarray]:
     return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, k) for i, k in enumerate(kinds)]
 
 
-_ANCHORS = ("<u4", "<i8", "<u4", "<u1")  # high half of the hash, document, run, shared in its batch
+_ANCHORS = ("<u4", "<i8", "<u4", "<u4")  # high half of the hash, document, run, runs it stands for
 _RUNS = ("<i8", "<u4")  # document, run
 _PIECES = ("<u8", "<i8", "<u4", "<u4", "<u1")  # hash, document, place, size, text
 _CUTS = ("<i8", "<u4", "<u4")  # document, first window, windows
@@ -186,7 +199,9 @@ def anchor_rows(buckets: int, deals: int):
             send = np.flatnonzero(send)
             send = send[np.lexsort((number[send], doc[send]))]  # in this order they pack best
             number = np.where(shared, NONE, number).astype("<u4")
-            for bucket, x in _by_group((h[send] % _U(buckets)).astype(np.int64), [(h[send] >> _U(32)).astype("<u4"), doc[send], number[send], shared[send].astype(np.uint8)]):
+            times = np.ones(len(h), "<u4")
+            times[starts] = np.where(several, np.diff(np.append(starts, len(h))), 1)
+            for bucket, x in _by_group((h[send] % _U(buckets)).astype(np.int64), [(h[send] >> _U(32)).astype("<u4"), doc[send], number[send], times[send]]):
                 keys.append(bucket)
                 blobs.append(pack(*x))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["key", "blob"])
@@ -194,34 +209,85 @@ def anchor_rows(buckets: int, deals: int):
     return run
 
 
-def shared_runs(buckets: int, deals: int):
+def hot_cells(bucket, high: np.ndarray) -> np.ndarray:
+    """The bits of hashes, known by their bucket and high half, in the bitmap of hot ones."""
+    return (ts.mix64(high.astype(_U) << _U(32) ^ np.asarray(bucket).astype(_U)) % _U(HOT_BITS)).astype("<u4")
+
+
+def shared_runs(buckets: int, deals: int, hot_runs: int = HOT_RUNS):
     """The anchors of a bucket -> (deal, blob of runs) for hashes that two documents
     have; deals pass through. Hashes go by their bucket and their high half: the few
-    that agree in both by chance cost a piece sent in vain."""
+    that agree in both by chance cost a piece sent in vain. Cells of hashes with more
+    than ``hot_runs`` runs come as deal -1."""
 
     def run(group: pa.Table) -> pa.Table:
         key = group["key"][0].as_py()
         if key >= buckets:
             return pa.table({"deal": pa.array([key - buckets] * len(group), pa.int32()), "blob": group["blob"]})
-        h, doc, number, known = unpack_all(group["blob"].to_pylist(), _ANCHORS)
+        h, doc, number, times = unpack_all(group["blob"].to_pylist(), _ANCHORS)
         order = np.lexsort((doc, h))
-        h, doc, number, known = h[order], doc[order], number[order], known[order]
+        h, doc, number, times = h[order], doc[order], number[order], times[order]
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        several = _several(starts, doc) | (np.maximum.reduceat(known, starts) > 0)
+        several = _several(starts, doc) | (np.maximum.reduceat(times, starts) > 1)
+        hot = np.add.reduceat(times.astype(np.int64), starts) > hot_runs
         reply = np.repeat(several, np.diff(np.append(starts, len(h)))) & (number != NONE)
         out = [(d, pack(*x)) for d, x in _by_group(deal_of(doc[reply], deals), [doc[reply], number[reply]])]
+        if hot.any():
+            out.append((-1, pack(np.unique(hot_cells(key, h[starts][hot])))))
         return pa.table({"deal": pa.array([d for d, _ in out], pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
 
     return run
 
 
+def _hot_bitmap(shared: DataFrame) -> bytes | None:
+    """The bitmap of hot hashes, packed; None without any. HOT_BITS bits at most reach
+    the driver."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (found,) = unpack_all(batch.column("blob").to_pylist(), ("<u4",))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(found).astype(np.int64) + 1)], names=["cell"])
+
+    found = shared.where("deal < 0").select("blob").mapInArrow(cells, "cell long")
+    parts = found.groupBy(F.bitmap_bucket_number("cell").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits")).collect()
+    if not parts:
+        return None
+    bits = np.zeros(HOT_BITS // 8, np.uint8)
+    for row in parts:
+        at = (row["part"] - 1) * len(row["bits"])
+        bits[at : at + len(row["bits"])] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    return zstandard.ZstdCompressor(level=1).compress(bits.tobytes())
+
+
 # Pieces ----------------------------------------------------------------------
 
 
-def piece_rows(buckets: int):
+def split_runs(data: np.ndarray, first: np.ndarray, count: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(run, first, windows, hash): runs of ``data`` cut where the SPLIT bytes change
+    that stand about the first place of the hash in a window. Equal windows have it
+    at like offsets, in like strings, so they meet under the new hash too."""
+    reach = LENGTH - GRAM
+    sizes = count + reach
+    run = np.repeat(np.arange(len(first)), sizes)
+    inside = np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    here = first[run] + inside
+    found = ts.window_hash(data, GRAM)[here] == h[run]
+    at = np.arange(len(run))
+    following = np.minimum.accumulate(np.where(found, at, len(run))[::-1])[::-1]
+    window = np.flatnonzero(inside < count[run])
+    offset = following[window] - window
+    part = offset // STEP
+    run, here = run[window], here[window]
+    finer = ts.mix64(ts.window_hash(data, SPLIT)[here + offset - part * STEP] ^ ts.mix64(part.astype(_U) + _U(1)))
+    begin = np.concatenate([[True], (run[1:] != run[:-1]) | (finer[1:] != finer[:-1])])
+    begin = np.flatnonzero(begin)
+    return run[begin], here[begin], np.diff(np.append(begin, len(run))), finer[begin]
+
+
+def piece_rows(buckets: int, hot: bytes | None = None):
     """Pass 2: documents of a deal and their shared runs -> (key, blob): the text of
     each distinct piece with its least document, by bucket, and cuts for the
-    documents behind it, by deal."""
+    documents behind it, by deal. Runs of hashes in the bitmap ``hot`` go in parts."""
 
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         empty = pa.table({"key": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
@@ -236,6 +302,7 @@ def piece_rows(buckets: int):
         data, offsets = ts.text_buffer(docs["text"])
         seen: dict[bytes, list] = {}
         cuts: tuple[list, list, list] = ([], [], [])
+        bits = None if hot is None else np.frombuffer(zstandard.ZstdDecompressor().decompress(hot), np.uint8)
         for i, _, part, ends in ts.chunks(data, offsets):
             row, first, count, h = runs(part, ends)
             own, n = ids[row + i], _ordinals(row)
@@ -243,9 +310,17 @@ def piece_rows(buckets: int):
                 pick = np.flatnonzero(np.isin(own.astype(_U) << _U(32) ^ n.astype(_U), wanted))
             else:
                 pick = np.array([k for k, x in enumerate(zip(own.tolist(), n.tolist(), strict=True)) if x in pairs], np.int64)
+            row, first, count, h = row[pick], first[pick], count[pick], h[pick]
+            if bits is not None:
+                cell = hot_cells(h % _U(buckets), h >> _U(32))
+                some = bits[cell >> 3] >> (cell & 7) & 1 > 0
+                if some.any():
+                    run, f, c, x = split_runs(part, first[some], count[some], h[some])
+                    order = np.argsort(np.concatenate([first[~some], f]), kind="stable")
+                    row, first, count, h = (np.concatenate([v[~some], w])[order] for v, w in ((row, row[some][run]), (first, f), (count, c), (h, x)))
             text = part.tobytes()
-            place = (first - ends[row])[pick].tolist()
-            for a, c, d, p, x in zip(first[pick].tolist(), count[pick].tolist(), own[pick].tolist(), place, h[pick].tolist(), strict=True):
+            place = (first - ends[row]).tolist()
+            for a, c, d, p, x in zip(first.tolist(), count.tolist(), ids[row + i].tolist(), place, h.tolist(), strict=True):
                 piece = text[a : a + c + LENGTH - 1]
                 at = seen.get(piece)
                 if at is None:
@@ -474,7 +549,7 @@ def _cutter(names: list[str], digests: bool, text_name: str, chars: pa.DataType
     return run
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, *, digests: bool = False) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, *, digests: bool = False, hot_runs: int = HOT_RUNS) -> DataFrame:
     """Cut repeated passages out of every whole text.
 
     digests: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and
@@ -487,7 +562,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, digests: bool = Fals
     each other. A row without doc_id neither cuts nor is cut, and takes part in no
     exchange. Decisions are made on the input, not on what is left. A very long
     text is held whole by one task. An empty table gives an empty one, and columns
-    of any name pass through.
+    of any name pass through. ``hot_runs`` moves work between buckets and changes no
+    result.
     """
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
@@ -500,9 +576,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, digests: bool = Fals
     source = known.select(_deal_column(F.col("doc_id"), deals).alias(deal), *[F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in names])
     keyed, packed = "key int, blob binary", "deal int, blob binary"
     anchors = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(anchor_rows(buckets, deals), keyed)
-    shared = anchors.groupBy("key").applyInArrow(shared_runs(buckets, deals), packed)
-    make = piece_rows(buckets)
-    pieces = source.groupBy(deal).cogroup(shared.groupBy("deal")).applyInArrow(lambda a, b: make(a, b), keyed)
+    shared = stage(spark, anchors.groupBy("key").applyInArrow(shared_runs(buckets, deals, hot_runs), packed), "runs")
+    make = piece_rows(buckets, _hot_bitmap(shared))
+    pieces = source.groupBy(deal).cogroup(shared.where("deal >= 0").groupBy("deal")).applyInArrow(lambda a, b: make(a, b), keyed)
     cuts = pieces.groupBy("key").applyInArrow(cut_rows(buckets, deals), packed)
     if digests:
         schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])

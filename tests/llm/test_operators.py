@@ -415,6 +415,32 @@ def test_repeats_equal_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = {x["doc_id"]: tuple(x)[1:] for x in suffixdedup.remove_repeats(spark, docs, digests=True).collect()}
     assert got == _removed(sorted(set(rows), key=str))
+    for hot_runs in (1, 20):
+        assert got == {x["doc_id"]: tuple(x)[1:] for x in suffixdedup.remove_repeats(spark, docs, digests=True, hot_runs=hot_runs).collect()}
+
+
+def test_hot_phrase_in_other_surroundings_is_dealt_out(spark):
+    r = np.random.default_rng(3)
+    phrase = "in the middle of the night, once"
+    tails = [_noise(r, 25) for _ in range(8)]
+    rows = [(k, _noise(r, 40) + phrase + (tails[k % 8] if k % 3 else _noise(r, 40)) + "x" * (k % 70)) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x["doc_id"]: tuple(x)[1:] for x in suffixdedup.remove_repeats(spark, docs, digests=True, hot_runs=10).collect()}
+    assert got == _removed(rows)
+
+
+@given(st.lists(st.text("ab", min_size=50, max_size=160), min_size=1, max_size=6))
+@settings(max_examples=100, deadline=None)
+def test_equal_windows_share_the_finer_hash(texts):
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+    _, first, count, h = suffixdedup.runs(data, offsets)
+    _, parts, sizes, finer = suffixdedup.split_runs(data, first, count, h)
+    covered = np.concatenate([np.arange(f, f + c) for f, c in zip(parts.tolist(), sizes.tolist(), strict=True)])
+    assert covered.tolist() == np.concatenate([np.arange(f, f + c) for f, c in zip(first.tolist(), count.tolist(), strict=True)]).tolist()
+    of = {}
+    for at, x in zip(covered.tolist(), np.repeat(finer, sizes).tolist(), strict=True):
+        assert of.setdefault(data[at : at + 50].tobytes(), x) == x
 
 
 @settings(max_examples=150, deadline=None)
