@@ -20,7 +20,7 @@ is one piece of text. All equal windows meet in the bucket of that hash.
 
 What a map task can settle by itself it settles before the shuffle: of equal
 runs or pieces in one batch, one is sent for all, so a passage that a third of
-all documents share reaches its bucket at most once per batch. Exchanges carry
+all documents share reaches its bucket at most once per HOLD_BYTES of text. Exchanges carry
 packed arrays; both passes over the text share one exchange of it.
 
 A hash with more than HOT_RUNS runs (a phrase in ever different surroundings) is
@@ -51,6 +51,8 @@ GRAM = 20
 BUCKET_BYTES = 8 << 20
 #: Text of the pieces that are sorted at a time, in bytes; an anchor is not split.
 SORT_BYTES = 1 << 18
+#: Text whose runs a map task holds and settles at a time, in bytes (or one longer document).
+HOLD_BYTES = 8 << 20
 #: Runs of a hash, about 64 bytes each, beyond which it is dealt out finer.
 HOT_RUNS = (1 << 20) // 64
 #: Offsets of the hash in a window that go together when it is dealt out finer.
@@ -171,40 +173,42 @@ def anchor_rows(buckets: int, deals: int):
     anchors; those from there on are deals of documents and hold runs that other
     documents of the same batch share."""
 
+    def packed(h: np.ndarray, doc: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((doc, h))
+        h, doc, number = h[order], doc[order], number[order]
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
+        several = _several(starts, doc)
+        sizes = np.diff(np.append(starts, len(h)))
+        shared = np.repeat(several, sizes)
+        keys, blobs = [], []
+        for deal, (d, r) in _by_group(deal_of(doc[shared], deals), [doc[shared], number[shared]]):
+            keys.append(buckets + deal)
+            blobs.append(pack(d, r))
+        times = np.ones(len(h), "<u4")
+        times[starts] = np.where(several, sizes, 1)
+        send = ~shared
+        send[starts] = True
+        send = np.flatnonzero(send)
+        send = send[np.lexsort((number[send], doc[send]))]  # in this order they pack best
+        number = np.where(shared, np.uint32(NONE), number)
+        for bucket, x in _by_group((h[send] % _U(buckets)).astype(np.int64), [(h[send] >> _U(32)).astype("<u4"), doc[send], number[send], times[send]]):
+            keys.append(bucket)
+            blobs.append(pack(*x))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["key", "blob"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.column("doc_id").null_count:
                 batch = batch.filter(batch.column("doc_id").is_valid())
             ids = batch.column("doc_id").to_numpy()
             data, offsets = ts.text_buffer(batch.column("text"))
-            found: list[list[np.ndarray]] = [[], [], []]
-            for i, _, part, ends in ts.chunks(data, offsets):
-                row, _, _, h = runs(part, ends)
-                for out, x in zip(found, (h, ids[row + i], _ordinals(row)), strict=True):
-                    out.append(x)
-            if not found[0]:
-                continue
-            h, doc, number = (np.concatenate(x) for x in found)
-            order = np.lexsort((doc, h))
-            h, doc, number = h[order], doc[order], number[order].astype("<u4")
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
-            several = _several(starts, doc)
-            shared = np.repeat(several, np.diff(np.append(starts, len(h))))
-            keys, blobs = [], []
-            for deal, (d, r) in _by_group(deal_of(doc[shared], deals), [doc[shared], number[shared]]):
-                keys.append(buckets + deal)
-                blobs.append(pack(d, r))
-            send = ~shared
-            send[starts] = True
-            send = np.flatnonzero(send)
-            send = send[np.lexsort((number[send], doc[send]))]  # in this order they pack best
-            number = np.where(shared, NONE, number).astype("<u4")
-            times = np.ones(len(h), "<u4")
-            times[starts] = np.where(several, np.diff(np.append(starts, len(h))), 1)
-            for bucket, x in _by_group((h[send] % _U(buckets)).astype(np.int64), [(h[send] >> _U(32)).astype("<u4"), doc[send], number[send], times[send]]):
-                keys.append(bucket)
-                blobs.append(pack(*x))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["key", "blob"])
+            for low, high, held, bounds in ts.chunks(data, offsets, HOLD_BYTES):
+                found: list[list[np.ndarray]] = [[], [], []]
+                for i, _, part, ends in ts.chunks(held, bounds):
+                    row, _, _, h = runs(part, ends)
+                    for out, x in zip(found, (h, ids[low:high][row + i], _ordinals(row).astype("<u4")), strict=True):
+                        out.append(x)
+                yield packed(*(np.concatenate(found.pop(0)) for _ in range(3)))
 
     return run
 
