@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 #: A word: a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of whole texts that go to Python at a time. Spark's own number lets one batch of
+#: long texts stand several times in a task's memory: in the JVM, on the way, in Python.
+TEXT_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _folders: dict[str, SparkSession] = {}
 
 
@@ -40,6 +45,18 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stage_texts(spark: SparkSession, df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """``stage`` of a table that Python makes from whole texts: TEXT_ROWS of them at a
+    time, or fewer where the session says so."""
+    before = spark.conf.get(_BATCH)
+    now = int(before)
+    spark.conf.set(_BATCH, str(min(now, TEXT_ROWS) if now > 0 else TEXT_ROWS))
+    try:
+        return stage(spark, df, name, parts)
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def stage(spark: SparkSession, df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends
     there, so a lost executor costs a reread and not the work above. ``parts`` is

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import discard, stage, with_ids, without_ids
+from .common import discard, stage, stage_texts, with_ids, without_ids
 
 WORDS = 5
 PERCENT = 80
@@ -315,7 +315,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = WORDS,
     component is null and it is kept. A very long text is one set, whole. An empty
     table gives no rows. Columns beside doc_id and text are not read.
     """
-    signed = stage(spark, signatures(docs, words), "signatures")
+    signed = stage_texts(spark, signatures(docs, words), "signatures")
     rows, shingles = signed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     parts = 1 + rows // DOC_ROWS
     set_parts = parts + 8 * shingles // SET_BYTES
@@ -336,7 +336,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = WORDS,
     discard(stars)
     nodes = stage(spark, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates", parts)
     texts = with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", nodes)
-    sets = stage(spark, full_sets(texts, words), "sets", set_parts)
+    sets = stage_texts(spark, full_sets(texts, words), "sets", set_parts)
     if sets.count() > nodes.count():  # some ids are repeated
         every, sets = sets, stage(spark, sets.dropDuplicates(["doc_id"]), "sets", set_parts)
         discard(every)

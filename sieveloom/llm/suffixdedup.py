@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan as ts
-from .common import free_name, stage
+from .common import free_name, stage_texts
 
 LENGTH = 50
 GRAM = 20
@@ -580,7 +580,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, digests: bool = Fals
     source = known.select(_deal_column(F.col("doc_id"), deals).alias(deal), *[F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in names])
     keyed, packed = "key int, blob binary", "deal int, blob binary"
     anchors = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(anchor_rows(buckets, deals), keyed)
-    shared = stage(spark, anchors.groupBy("key").applyInArrow(shared_runs(buckets, deals, hot_runs), packed), "runs")
+    shared = stage_texts(spark, anchors.groupBy("key").applyInArrow(shared_runs(buckets, deals, hot_runs), packed), "runs")
     make = piece_rows(buckets, _hot_bitmap(shared))
     pieces = source.groupBy(deal).cogroup(shared.where("deal >= 0").groupBy("deal")).applyInArrow(lambda a, b: make(a, b), keyed)
     cuts = pieces.groupBy("key").applyInArrow(cut_rows(buckets, deals), packed)
