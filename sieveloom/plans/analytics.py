@@ -626,7 +626,8 @@ pairs AS (SELECT a.label AS bucket, a.vec_id AS a, b.vec_id AS b, round(list_dot
 
 def _pairs(spark, sf_dir):
     e = d.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("bucket"), F.col("embedding").alias("vector"))
-    return vectors.near_pairs(e, 0.3)
+    # the limit is on the rounded cosine, as in the SQL
+    return vectors.near_pairs(e, 0.3 - 5e-7).where("cosine >= 0.3")
 
 
 @query("j13_v01_v05_near_pairs", "WITH " + PAIRS + " SELECT * FROM pairs WHERE cosine >= 0.3")

@@ -312,3 +312,17 @@ def test_span_and_sound_queries_read_their_tables(spark, sf_dir, tmp_path):
     assert {r["id"]: r["spans"] for r in QUERIES["g06_document_quoted_spans"](spark, str(tmp_path)).collect()} == quoted
     words = {r["text"]: (r["sound"], r["kind"]) for r in QUERIES["f31_f32_sound_words"](spark, sf_dir).collect()}
     assert {analytics.SOUNDS[r["seq"]]: (r["sound"], r["kind"]) for r in QUERIES["f31_f32_line_sounds"](spark, str(tmp_path)).collect()} == words
+
+
+def test_near_pairs_take_the_rounded_cosine(spark, tmp_path):
+    import duckdb
+    from sieveloom.plans.registry import ORACLES, QUERIES
+
+    cosines = {1: 0.2999998, 2: 0.2999993, 3: 0.31, 4: float("nan")}
+    rows = [(0, 7, [1.0, 0.0]), (9, 7, None), *((i, 7, [x, -((1 - x * x) ** 0.5) if i % 2 else (1 - x * x) ** 0.5]) for i, x in cosines.items())]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(map(str, con.sql(f"select a, b, cosine from ({ORACLES['j13_v01_v05_near_pairs']})").fetchall()))
+    got = QUERIES["j13_v01_v05_near_pairs"](spark, str(tmp_path)).select("a", "b", "cosine").collect()
+    assert (0, 1, 0.3) in [tuple(r) for r in got] and sorted(str(tuple(r)) for r in got) == want
