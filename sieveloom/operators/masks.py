@@ -11,33 +11,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Alpha of a detection's bytes: what it leaves.
+LEFT = bytes([255, *[0] * 255])
+
+
 def merge_masks(masks: DataFrame) -> DataFrame:
     """masks (name, place, height, width, alpha binary) -> one per name, the least alpha of
     all; a mask of another size is resampled to that of the first place, nearest pixel."""
-    rows = masks.repartition("name").sortWithinPartitions("name", "place")
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, now = None, None
-
-        def done() -> pd.DataFrame:
-            return pd.DataFrame([(name, now.shape[0], now.shape[1], now.tobytes())], columns=["name", "height", "width", "alpha"])
-
-        for pdf in parts:
-            for row in pdf.itertuples(index=False):
-                a = np.frombuffer(row.alpha, np.uint8).reshape(row.height, row.width)
-                if row.name != name:
-                    if now is not None:
-                        yield done()
-                    name, now = row.name, a.copy()
-                    continue
-                h, w = now.shape
-                if a.shape != now.shape:
-                    a = a[np.arange(h) * a.shape[0] // h][:, np.arange(w) * a.shape[1] // w]
-                np.minimum(now, a, out=now)
-        if now is not None:
-            yield done()
-
-    return rows.mapInPandas(run, "name string, height int, width int, alpha binary")
+    rows = masks.select("name", "place", "height", "width", "alpha").repartition("name").sortWithinPartitions("name", "place")
+    return rows.mapInPandas(merged, "name string, height int, width int, alpha binary")
+
+
+def merged(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by name and place, merged a batch at a time; a batch's last name waits
+    for its other rows as a mask of its own."""
+    rest = None
+    for pdf in parts:
+        if pdf.empty:
+            continue
+        done = _least(pdf if rest is None else pd.concat([rest, pdf], ignore_index=True))
+        yield done.iloc[:-1]
+        rest = done.iloc[-1:]
+    if rest is not None:
+        yield rest
+
+
+def _least(pdf: pd.DataFrame) -> pd.DataFrame:
+    name, height, width = pdf["name"].to_numpy(object), pdf["height"].to_numpy(), pdf["width"].to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+    if (height == height[0]).all() and (width == width[0]).all():
+        stack = np.frombuffer(b"".join(pdf["alpha"]), np.uint8).reshape(len(pdf), height[0] * width[0])
+        alpha = [a.tobytes() for a in np.minimum.reduceat(stack, first, axis=0)]
+    else:
+        alpha = []
+        for i, j in zip(first, [*first[1:], len(pdf)], strict=True):
+            each = [np.frombuffer(b, np.uint8).reshape(h, w) for b, h, w in zip(pdf["alpha"].iloc[i:j], height[i:j], width[i:j], strict=True)]
+            now, (h, w) = each[0].copy(), each[0].shape
+            for a in each[1:]:
+                np.minimum(now, a if a.shape == now.shape else a[np.arange(h) * a.shape[0] // h][:, np.arange(w) * a.shape[1] // w], out=now)
+            alpha.append(now.tobytes())
+    return pd.DataFrame({"name": name[first], "height": height[first], "width": width[first], "alpha": alpha})
 
 
 @F.pandas_udf(T.DoubleType())
@@ -51,7 +64,7 @@ def coverage_percent(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def ignore_mask(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Alpha of what a detection leaves: 0 where it detects, 255 elsewhere."""
     for s in parts:
-        yield s.map(lambda b: None if b is None else np.where(np.frombuffer(b, np.uint8) > 0, 0, 255).astype(np.uint8).tobytes())
+        yield s.map(lambda b: None if b is None else b.translate(LEFT))
 
 
 def label_maps(instances: DataFrame, height: int, width: int) -> DataFrame:
@@ -121,4 +134,7 @@ def component_boxes(mask: np.ndarray, least_side: int, most_share: float = 0.4)
 
 def mask_bits(x0: Column, x1: Column, side: int) -> Column:
     """A row mask of ``side`` pixels, set from x0 to x1, as bytes; for tests and demos."""
-    return F.to_binary(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.when((i >= x0) & (i < x1), "ff").otherwise("00")), ""), F.lit("hex"))
+    start = F.ceil(F.greatest(F.lit(0), F.least(x0, F.lit(side)))).cast("int")
+    end = F.greatest(start, F.ceil(F.least(x1, F.lit(side))).cast("int"))
+    bits = F.concat(F.repeat(F.lit("00"), start), F.repeat(F.lit("ff"), end - start), F.repeat(F.lit("00"), side - end))
+    return F.to_binary(F.when(x0.isNull() | x1.isNull(), F.lit("00" * side)).otherwise(bits), F.lit("hex"))

@@ -326,3 +326,24 @@ def test_near_pairs_take_the_rounded_cosine(spark, tmp_path):
     want = sorted(map(str, con.sql(f"select a, b, cosine from ({ORACLES['j13_v01_v05_near_pairs']})").fetchall()))
     got = QUERIES["j13_v01_v05_near_pairs"](spark, str(tmp_path)).select("a", "b", "cosine").collect()
     assert (0, 1, 0.3) in [tuple(r) for r in got] and sorted(str(tuple(r)) for r in got) == want
+
+
+def test_masks_merge_a_batch_at_a_time(spark):
+    import pandas as pd
+    from sieveloom.operators import masks
+
+    rng = np.random.default_rng(1)
+    rows = [(f"m{i // 3:04}", i % 3, 1, 16, rng.integers(0, 256, 16, np.uint8).tobytes()) for i in range(3000)]
+    columns = ["name", "place", "height", "width", "alpha"]
+    batches = [pd.DataFrame(rows[i : i + 1000], columns=columns) for i in range(0, 3000, 1000)]
+    got = list(masks.merged(iter(batches)))
+    want = [(rows[i][0], bytes(map(min, *(r[4] for r in rows[i : i + 3])))) for i in range(0, 3000, 3)]
+    assert len(got) == 4 and [(r.name, r.alpha) for g in got for r in g.itertuples(index=False)] == want
+    # sizes that differ, a name that goes on in the next batch, a null name
+    odd = [pd.DataFrame([("a", 0, 1, 2, b"\xff\x09"), ("a", 1, 1, 4, b"\x00\xff\xff\xff"), ("b", 0, 1, 1, b"\x07")], columns=columns)]
+    odd += [pd.DataFrame([("b", 1, 2, 2, b"\x05\x01\x01\x01"), (None, 0, 1, 1, b"\x03"), (None, 1, 1, 1, b"\x02")], columns=columns)]
+    assert [tuple(r) for g in masks.merged(iter(odd)) for r in g.itertuples(index=False)] == [("a", 1, 2, b"\x00\x09"), ("b", 1, 1, b"\x05"), (None, 1, 1, b"\x02")]
+    bits = spark.sql("select a, b from (values (-3, 2), (1, 3), (3, 1), (2, 9), (null, 3), (0, null)) as t(a, b)").select(masks.mask_bits(F.col("a"), F.col("b"), 4).alias("m"))
+    left = bits.select("m", masks.ignore_mask("m").alias("l")).collect()
+    assert [bytes(r["m"]).hex() for r in left] == ["ffff0000", "00ffff00", "00000000", "0000ffff", "00000000", "00000000"]
+    assert [bytes(r["l"]).hex() for r in left] == ["0000ffff", "ff0000ff", "ffffffff", "ffff0000", "ffffffff", "ffffffff"]
