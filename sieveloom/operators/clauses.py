@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,29 +92,96 @@ def choose(kept: dict[str, float], winners: dict[str, str], bag: frozenset[str],
 def clause_tags(scores: DataFrame, bags: DataFrame, policy: Policy) -> DataFrame:
     """(image, crop, place, tag). scores (image, crop, tag, score): what each crop kept;
     bags (image, bag array, repeated boolean)."""
-    rows = scores.join(bags, "image").repartition("image").sortWithinPartitions("image", "crop", "tag")
-
-    def one(pdf: pd.DataFrame) -> list[tuple]:
-        bag, repeated = frozenset(pdf["bag"].iloc[0]), bool(pdf["repeated"].iloc[0])
-        crops = {c: dict(zip(p["tag"], p["score"], strict=True)) for c, p in pdf.groupby("crop")}
-        held = pd.Series([x for k in crops.values() for x in k]).value_counts()
-        shared = frozenset(held.index[held == len(crops)]) if len(crops) > 1 else frozenset()
-        own = frozenset(held.index[held == 1])
-        image = pdf["image"].iloc[0]
-        return [(image, c, i, x) for c, kept in crops.items() for i, x in enumerate(choose(kept, {}, bag, own, shared, policy, repeated=repeated))]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        names = ["image", "crop", "place", "tag"]
-        for pdf in parts:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            last = pdf["image"].iloc[-1] if len(pdf) else None
-            done, rest = pdf[pdf["image"] != last], pdf[pdf["image"] == last]
-            yield pd.DataFrame([r for _, p in done.groupby("image", sort=False) for r in one(p)], columns=names)
-        if rest is not None and len(rest):
-            yield pd.DataFrame(one(rest), columns=names)
-
-    return rows.mapInPandas(run, "image long, crop int, place int, tag string")
+    rows = scores.join(bags, "image").select(F.col("image").cast("long"), F.col("crop").cast("int"), "tag", F.col("score").cast("double"), F.col("bag").cast("array<string>"), "repeated")
+    rows = rows.repartition("image").sortWithinPartitions("image", "crop", F.desc("score"), "tag")
+    return rows.mapInArrow(partial(clause_rows, policy=policy), "image long, crop int, place int, tag string")
+
+
+def clause_rows(parts: Iterator[pa.RecordBatch], policy: Policy) -> Iterator[pa.RecordBatch]:
+    """Clauses of rows (image, crop, tag, score, bag, repeated) sorted by image, crop,
+    falling score and tag. A batch's last image waits for its other rows."""
+    chooser, rest, last = _Chooser(policy), [], None
+    for part in parts:
+        if not len(part):
+            continue
+        image = part["image"].to_numpy()
+        cut = int(np.searchsorted(image, image[-1]))
+        if cut or image[0] != last:
+            done = pa.Table.from_batches([*rest, part.slice(0, cut)])
+            if len(done):
+                yield chooser.clauses(done)
+            rest, last = [], image[-1]
+        rest.append(part.slice(cut))
+    if rest:
+        yield chooser.clauses(pa.Table.from_batches(rest))
+
+
+class _Chooser:
+    """Clauses of whole images. Crops that kept like tags in like order, under like
+    bags, have like clauses; ``choose`` is asked once for them, and up to ``MOST``
+    answers are remembered."""
+
+    MOST = 1 << 16
+
+    def __init__(self, policy: Policy):
+        self.policy = policy
+        self.forget()
+
+    def forget(self) -> None:
+        self.tags: dict[str, int] = {}
+        self.bags: dict[tuple, int] = {}
+        self.answers: dict[tuple[int, bytes], int] = {}
+        self.chosen: list[list[str]] = []
+
+    def clauses(self, rows: pa.Table) -> pa.RecordBatch:
+        if max(len(self.tags), len(self.bags), len(self.answers)) > self.MOST:
+            self.forget()
+        rows = rows.combine_chunks()
+        image, crop = rows["image"].to_numpy(), rows["crop"].fill_null(-1).to_numpy()
+        # null tags say nothing, but their crop counts
+        coded = rows["tag"].combine_chunks().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        tag = np.array([*(self.tags.setdefault(x, len(self.tags)) for x in names), -1], np.int64)[coded.indices.fill_null(len(names)).to_numpy()]
+        score = rows["score"].to_numpy().astype(float)
+        new_image = np.concatenate([[True], image[1:] != image[:-1]])
+        new_crop = new_image | np.concatenate([[True], crop[1:] != crop[:-1]])
+        of_image, of_crop = np.cumsum(new_image) - 1, np.cumsum(new_crop) - 1
+        # a tag that stands twice in a crop counts by its first, its best score
+        _, once = np.unique(of_crop * (len(self.tags) + 1) + tag + 1, return_index=True)
+        once = np.sort(once[tag[once] >= 0])
+        at, kept, place_of = of_image[once], tag[once], of_crop[once]
+        _, where, n = np.unique(at * len(self.tags) + kept, return_inverse=True, return_counts=True)
+        held, crops = n[where], np.bincount(of_image[new_crop])[at]
+        own, shared, sure = held == 1, (held == crops) & (crops > 1), score[once] >= self.policy.name_confidence
+        mark = (((kept * 2 + own) * 2 + shared) * 2 + sure).tobytes()
+
+        first = np.flatnonzero(new_image)
+        bag = rows["bag"].combine_chunks().take(pa.array(first)).to_pylist()
+        again = rows["repeated"].combine_chunks().take(pa.array(first)).to_pylist()
+        bag_id = [self.bags.setdefault((bool(r), *(b or ())), len(self.bags)) for b, r in zip(bag, again, strict=True)]
+        starts = np.flatnonzero(new_crop)
+        ends = np.searchsorted(place_of, np.arange(len(starts)), side="right").tolist()
+        answer, a = np.empty(len(starts), np.int64), 0
+        for i, (k, b) in enumerate(zip(of_image[starts].tolist(), ends, strict=True)):
+            key = bag_id[k], mark[8 * a : 8 * b]
+            known = self.answers.get(key)
+            if known is None:
+                known = self.answers[key] = len(self.chosen)
+                row = [(names[coded.indices[j].as_py()], score[j]) for j in once[a:b].tolist()]
+                mine = [frozenset(x for (x, _), y in zip(row, ys[a:b], strict=True) if y) for ys in (own, shared)]
+                self.chosen.append(choose(dict(row), {}, frozenset(bag[k] or ()), *mine, self.policy, repeated=bool(again[k])))
+            answer[i], a = known, b
+
+        used, answer = np.unique(answer, return_inverse=True)
+        chosen = [self.chosen[k] for k in used.tolist()]
+        length = np.array([len(x) for x in chosen], np.int64)
+        begin, n = np.cumsum(length) - length, length[answer]
+        of = np.repeat(np.arange(len(starts)), n)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        words = pa.array([x for each in chosen for x in each], pa.string())
+        at_crop = pa.array(starts[of])
+        columns = [rows["image"].combine_chunks().take(at_crop), rows["crop"].combine_chunks().take(at_crop), pa.array(place, pa.int32()), words.take(pa.array(begin[answer][of] + place))]
+        return pa.RecordBatch.from_arrays(columns, ["image", "crop", "place", "tag"])
 
 
 def bag_removals(clauses: DataFrame, scores: DataFrame, bag: DataFrame, margin: float, invariant: Column | None = None, thin: bool = False) -> DataFrame:

@@ -347,3 +347,37 @@ def test_masks_merge_a_batch_at_a_time(spark):
     left = bits.select("m", masks.ignore_mask("m").alias("l")).collect()
     assert [bytes(r["m"]).hex() for r in left] == ["ffff0000", "00ffff00", "00000000", "0000ffff", "00000000", "00000000"]
     assert [bytes(r["l"]).hex() for r in left] == ["0000ffff", "ff0000ff", "ffffffff", "ffff0000", "ffffffff", "ffffffff"]
+
+
+def test_clauses_of_like_crops_are_chosen_once(monkeypatch):
+    import pyarrow as pa
+    from sieveloom.operators import clauses as cl
+
+    policy = cl.Policy(max_tags=3, max_novel=1, group_of={"red": "hair", "blue": "hair", "sit": "pose", "run": "pose"}, priority=("hair",), exclusive=frozenset({"hair"}), subject=frozenset({"hair", "pose"}), characters=frozenset({"miku"}), name_confidence=0.6)
+    rng, tags = np.random.default_rng(3), ["red", "blue", "sit", "run", "miku", "hat", None]
+    bags = [["red", "miku"], ["sit", "hat", "blue"], []]
+    images = {}
+    for image in range(400):
+        crops = {c: {tags[k]: float(rng.integers(1, 9)) / 8 for k in rng.permutation(7)[: rng.integers(1, 5)]} for c in range(rng.integers(1, 5))}
+        images[image] = (bags[image % 3], image % 4 == 0, crops)
+    rows, want = [], []
+    for image, (bag, again, crops) in images.items():
+        held = [x for kept in crops.values() for x in kept if x is not None]
+        shared = frozenset(x for x in held if held.count(x) == len(crops) and len(crops) > 1)
+        own = frozenset(x for x in held if held.count(x) == 1)
+        for c, kept in crops.items():
+            rows += [(image, c, x, y, bag, again) for x, y in sorted(kept.items(), key=lambda r: (-r[1], r[0] or ""))]
+            named = dict(sorted(((x, y) for x, y in kept.items() if x is not None)))
+            want += [(image, c, i, x) for i, x in enumerate(cl.choose(named, {}, frozenset(bag), own, shared, policy, repeated=again))]
+    schema = pa.schema([("image", pa.int64()), ("crop", pa.int32()), ("tag", pa.string()), ("score", pa.float64()), ("bag", pa.list_(pa.string())), ("repeated", pa.bool_())])
+    batch = pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+    tuples = lambda parts: [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    for size in (1, 7, 100, len(batch)):
+        assert tuples(cl.clause_rows((batch.slice(i, size) for i in range(0, len(batch), size)), policy)) == want
+    monkeypatch.setattr(cl._Chooser, "MOST", 5)
+    assert tuples(cl.clause_rows((batch.slice(i, 50) for i in range(0, len(batch), 50)), policy)) == want
+    asked, choose = [], cl.choose
+    monkeypatch.setattr(cl, "choose", lambda *a, **k: asked.append(1) or choose(*a, **k))
+    like = [(image, c, "sit", 0.5 + image / 9999, ["sit"], False) for image in range(1000) for c in range(3)]
+    one = pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in like], schema)
+    assert sum(len(p) for p in cl.clause_rows(iter([one]), policy)) == 0 and len(asked) == 1
