@@ -161,8 +161,8 @@ def dense_matches(spark, sf_dir):
     from ..operators import vectors
 
     e = d.table(spark, sf_dir, "embeddings")
-    pairs = vectors.near_pairs(e.select(F.col("vec_id").alias("id"), F.col("label").alias("bucket"), F.col("embedding").alias("vector")), 0.25).where("not isnan(cosine)")
-    return vectors.dense_matches(pairs, e.select(F.col("vec_id").alias("id"), F.lit(4).alias("side"), F.col("embedding").alias("grid")), 4, 0.5, 0.99)
+    features = e.select(F.col("vec_id").alias("id"), F.col("label").alias("bucket"), F.col("embedding").alias("vector"), F.lit(4).alias("side"), F.col("embedding").alias("grid"))
+    return vectors.near_dense_matches(features, 0.25, 4, 0.5, 0.99)
 
 
 @query("k25_suppression_counts", "SELECT count(*) AS n FROM lineitem")

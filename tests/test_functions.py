@@ -381,3 +381,23 @@ def test_clauses_of_like_crops_are_chosen_once(monkeypatch):
     like = [(image, c, "sit", 0.5 + image / 9999, ["sit"], False) for image in range(1000) for c in range(3)]
     one = pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in like], schema)
     assert sum(len(p) for p in cl.clause_rows(iter([one]), policy)) == 0 and len(asked) == 1
+
+
+def test_dense_matches_in_the_blocks_that_find_the_pairs(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(6, 64))
+    rows = [(i, i % 2, (base[i % 6] + rng.normal(size=64) * rng.choice([0, 0.3, 1])).tolist()) for i in range(60)] + [(60, 0, None), (61, 0, [0.0] * 64), (62, 0, [float("nan")] * 64)]
+    features = spark.createDataFrame(rows, "id long, bucket int, vector array<double>").select("id", "bucket", "vector", F.lit(4).alias("side"), F.col("vector").alias("grid"))
+    pairs = vectors.near_pairs(features, 0.25).where("not isnan(cosine)").select("a", "b").collect()
+    for cells, least, ratio in ((4, 0.5, 0.99), (3, 0.2, 0.9), (1, 0.1, 1.0)):
+        pooled = {i: vectors.pooled(np.array(x).reshape(4, 4, -1), cells) for i, _, x in rows if x}
+        want = {(a, b): round(vectors.matched_fraction(pooled[a], pooled[b], least, ratio), 6) for a, b in pairs}
+        for block in (2048, 7):
+            got = vectors.near_dense_matches(features, 0.25, cells, least, ratio, block).collect()
+            assert len(got) == len(want) > 100 and {(r["a"], r["b"]): r["matched"] for r in got} == want
+    got = vectors.dense_matches(spark.createDataFrame(pairs), features.select("id", "side", "grid"), 1, 0.1, 1.0).collect()
+    assert {(r["a"], r["b"]): r["matched"] for r in got} == want
+    many = np.stack([vectors.pooled(rng.normal(size=(4, 4, 4)), 4) for _ in range(9)])
+    a, b = rng.integers(0, 9, 5000), rng.integers(0, 9, 5000)
+    assert vectors.matched_fractions(many, a, b, 0.5, 0.99).tolist() == [vectors.matched_fraction(many[i], many[j], 0.5, 0.99) for i, j in zip(a, b, strict=True)]
+    assert vectors.matched_fraction(many[0], many[0], 0.5, 0.99) == 1.0
