@@ -92,7 +92,8 @@ def choose(kept: dict[str, float], winners: dict[str, str], bag: frozenset[str],
 def clause_tags(scores: DataFrame, bags: DataFrame, policy: Policy) -> DataFrame:
     """(image, crop, place, tag). scores (image, crop, tag, score): what each crop kept;
     bags (image, bag array, repeated boolean)."""
-    rows = scores.join(bags, "image").select(F.col("image").cast("long"), F.col("crop").cast("int"), "tag", F.col("score").cast("double"), F.col("bag").cast("array<string>"), "repeated")
+    # bags are as many as the images, so never a broadcast, however small their file
+    rows = scores.join(bags.hint("merge"), "image").select(F.col("image").cast("long"), F.col("crop").cast("int"), "tag", F.col("score").cast("double"), F.col("bag").cast("array<string>"), "repeated")
     rows = rows.repartition("image").sortWithinPartitions("image", "crop", F.desc("score"), "tag")
     return rows.mapInArrow(partial(clause_rows, policy=policy), "image long, crop int, place int, tag string")
 

@@ -401,3 +401,10 @@ def test_dense_matches_in_the_blocks_that_find_the_pairs(spark):
     a, b = rng.integers(0, 9, 5000), rng.integers(0, 9, 5000)
     assert vectors.matched_fractions(many, a, b, 0.5, 0.99).tolist() == [vectors.matched_fraction(many[i], many[j], 0.5, 0.99) for i, j in zip(a, b, strict=True)]
     assert vectors.matched_fraction(many[0], many[0], 0.5, 0.99) == 1.0
+
+
+def test_clause_tags_broadcast_no_bags(spark, sf_dir):
+    from sieveloom.plans.registry import QUERIES
+
+    plan = QUERIES["r08_r10_clause_tags"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
